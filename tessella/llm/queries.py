@@ -1,12 +1,15 @@
 """The registered queries of the corpus operators and their SQL where SQL can express them."""
 
-from . import decontaminate, pii, secrets, sharding, warc
+from . import ann, decontaminate, packing, pii, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_winnow_decontaminate": decontaminate.op2_winnow_decontaminate,
+    "op3_toxicity_cnn": toxicity.op3_toxicity_cnn,
     "op4_hilbert_shards": sharding.op4_hilbert_shards,
     "op5_warc_normalise": warc.op5_warc_normalise,
+    "op6_adaptive_dimension_scan": ann.op6_adaptive_dimension_scan,
+    "op8_karmarkar_karp_packing": packing.op8_karmarkar_karp_packing,
     "op9_pii": pii.op9_pii,
 }
 
