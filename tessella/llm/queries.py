@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators and their SQL where SQL can express them."""
 
-from . import ann, decontaminate, packing, pii, secrets, sharding, toxicity, warc
+from . import ann, decontaminate, packing, pii, secrets, setjoin, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -9,8 +9,10 @@ QUERIES = {
     "op4_hilbert_shards": sharding.op4_hilbert_shards,
     "op5_warc_normalise": warc.op5_warc_normalise,
     "op6_adaptive_dimension_scan": ann.op6_adaptive_dimension_scan,
+    "op7_de_bruijn_dedup": substrings.op7_de_bruijn_dedup,
     "op8_karmarkar_karp_packing": packing.op8_karmarkar_karp_packing,
     "op9_pii": pii.op9_pii,
+    "op10_set_relation_join": setjoin.op10_set_relation_join,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,4 +45,15 @@ SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN leader l ON p.html = l.html
 """
 
-ORACLE = {"op2_winnow_decontaminate": OP2_SQL, "op5_warc_normalise": OP5_SQL}
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, a, array_to_string(w[a : a + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS a FROM d WHERE len(w) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(a, a + 35)) AS p FROM win WHERE s IN (SELECT s FROM rep))),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS t, count(*) AS n FROM pos p LEFT JOIN cov c ON p.doc_id = c.doc_id AND p.p = c.p WHERE c.p IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+ORACLE = {"op7_de_bruijn_dedup": OP7_SQL, "op2_winnow_decontaminate": OP2_SQL, "op5_warc_normalise": OP5_SQL}
