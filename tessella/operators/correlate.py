@@ -134,9 +134,9 @@ def weight_block(weights: DataFrame, num_k: int, num_m: int, limit: int = BROADC
     """(N, K, M) complex, or None when it is larger than ``limit`` bytes."""
     top = weights.agg(F.max("n")).first()[0]
     n = 0 if top is None else int(top) + 1
-    if n * num_k * num_m * 8 > limit:
+    if n * num_k * num_m * 16 > limit:
         return None
-    out = np.zeros((n, num_k, num_m), np.complex64)
+    out = np.zeros((n, num_k, num_m), complex)
     rows = weights.where((F.col("k") < num_k) & (F.col("m") < num_m)).toPandas()
     out[rows["n"].to_numpy(int), rows["k"].to_numpy(int), rows["m"].to_numpy(int)] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
     return out
@@ -149,7 +149,7 @@ def reduce_block(features: np.ndarray, weights: np.ndarray, n_psi: int, chunk: i
     best, arg = np.full(p, -np.inf), np.zeros(p, np.int64)
     scale = np.where(np.isin(np.arange(k), (0, nyquist(n_psi))), 1.0, 2.0)
     for lo in range(0, len(weights), chunk):
-        w = weights[lo : lo + chunk].astype(np.complex128)
+        w = weights[lo : lo + chunk]
         c = np.einsum("pkm,nkm->pnk", features, w.conj(), optimize=True)
         c[..., 0].imag = 0
         if 0 < nyquist(n_psi) < k:
