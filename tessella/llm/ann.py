@@ -9,7 +9,8 @@ Scores of the survivors are inner products of the original vectors in double pre
 Lists are k-means cells, fitted on at most SAMPLE rows (those of the smallest hashed ids); the same rows say how many
 lists must be probed for a recall of TARGET, so that data without clusters is probed widely. Every row is indexed.
 Equal vectors are searched once: of each only the K + 1 smallest ids can appear in an answer, which leaves hot vectors
-no weight; they are found by counts and cut in three salted steps. Long lists are split over tasks.
+no weight; they are found by counts and cut in three salted steps. Neighbouring lists are scanned together, in bins of
+BIN rows; a long list has several bins, and a bin that many queries ask for is sent to several tasks.
 
 Null, zero or non-finite vectors and rows with a null id take no part, nor do vectors of another length than the most
 frequent one (of equals, the longest). Rows that repeat an id are candidates each; a query's own id is never among its
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, mix
 
 K, EVERY = 20, 20
 SAMPLE, LIST, MAX_LISTS, TARGET = 20_000, 256, 4096, 0.97
 EPS, BLOCKS = 2.1, (16, 32, 48)
-SPLIT = 2048  # rows of a list that one task scans
+BIN = 16_384  # rows of neighbouring lists, or of a part of a long one, that are scanned together
+QUERIES = 8192  # that meet a bin at a time
+STEP = 4096  # rows between two looks at the limit
 HOT = 64  # copies from which a vector is cut in steps
 
 
@@ -83,26 +86,34 @@ class Index:
         return int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) + 1
 
 
-def scan(query: np.ndarray, turned: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, best: list[tuple[float, int, float]]) -> list[tuple[float, int, float]]:
-    """The K + 1 best (-score, id, squared distance) of ``best`` and of a list's rows, which are in order of id; ``turned`` is the rotated query."""
-    d = rows.shape[1]
-    live = np.arange(len(rows))
-    if len(best) > K:
-        # with unequal lengths set aside by the extra dimension, the K + 1-th best score is a squared distance
-        limit = best[-1][2]
-        partial, at = np.zeros(len(rows)), 0
-        for stop in (*(b for b in BLOCKS if b < d), d):
-            diff = rows[live, at:stop] - turned[at:stop]
-            partial = partial + (diff * diff).sum(1)
-            keep = partial * (d / stop) <= limit * (1 + (EPS / np.sqrt(stop) if stop < d else 1e-9)) ** 2 + 1e-12
-            live, partial, at = live[keep], partial[keep], stop
-            if not len(live):
-                return best
+class Lazy:
+    """Some rows of a block, of which only those are copied that are asked for."""
+
+    def __init__(self, block: np.ndarray, at: np.ndarray):
+        self.block, self.at, self.shape = block, at, (len(at), block.shape[1])
+
+    def __getitem__(self, live: np.ndarray) -> np.ndarray:
+        return self.block[self.at[live]]
+
+
+def scan(query: np.ndarray, turned: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, vectors: np.ndarray, best: tuple[np.ndarray, np.ndarray], base: float) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the K + 1 best of ``best`` and of some rows: their rotated column blocks, ids and original
+    vectors. ``turned`` is the rotated query; a squared distance is ``base`` less twice a score."""
+    scores, found = best
+    limit = max(base - 2 * float(scores[-1]), 0.0) if len(scores) > K else np.inf
+    d, live, partial, at = len(turned), None, 0.0, 0
+    for block in blocks:
+        stop = at + block.shape[1]
+        diff = (block if live is None else block[live]) - turned[at:stop]
+        partial = partial + np.einsum("ij,ij->i", diff, diff)
+        keep = partial * (d / stop) <= limit * (1 + (EPS / np.sqrt(stop) if stop < d else 1e-9)) ** 2 + 1e-9 * base
+        live, partial, at = (np.flatnonzero(keep) if live is None else live[keep]), partial[keep], stop
+        if not len(live):
+            return best
     score = (vectors[live] * query).sum(1)
-    order = np.lexsort((ids[live], -score))[: K + 1]
-    diff = rows[live[order]] - turned
-    dist = (diff * diff).sum(1)
-    return sorted([*best, *((-float(s), int(i), float(r)) for s, i, r in zip(score[order], ids[live[order]], dist, strict=True))], key=lambda x: (x[0], x[1]))[: K + 1]
+    scores, found = np.concatenate([scores, score]), np.concatenate([found, ids[live]])
+    order = np.lexsort((found, -scores))[: K + 1]
+    return scores[order], found[order]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -157,47 +168,82 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
 
     placed = materialise(few_copies(rows).select("vec_id", "embedding").mapInArrow(place, "list int, vec_id long, embedding array<float>"), "lists")
     length = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS
-    parts = np.ones(len(index.centroids), int)
-    for k, n in length.items():
-        parts[k] = -(-n // SPLIT)
+    parts, first, held, bins = np.ones(len(index.centroids), int), np.zeros(len(index.centroids), int), 0, 0
+    for k in range(len(parts)):  # lists share a bin until it is full; a longer one has bins of its own
+        n = length.get(k, 0)
+        parts[k] = max(1, -(-n // BIN))
+        if held + n > BIN and held:
+            bins, held = bins + 1, 0
+        first[k], held = bins, held + n
+        if parts[k] > 1:
+            bins, held = bins + int(parts[k]), 0
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per query and bin, with the lists to scan there, nearest first."""
         for b in batches:
             if b.num_rows:
-                near = sent.value.near(sent.value.queries(_matrix(b.column(2))), sent.value.probes)
-                lists = near.ravel()
-                which = np.repeat(np.arange(len(lists)), parts[lists])
-                part = np.concatenate([np.arange(parts[k]) for k in lists])
-                rows_of = pa.array(which // near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(lists[which], pa.int32()), pa.array(part, pa.int32()), *(c.take(rows_of) for c in b.columns)], names=["list", "part", "a", "b", "embedding"])
+                at, to, lists = [], [], []
+                for i, near in enumerate(sent.value.near(sent.value.queries(_matrix(b.column(2))), sent.value.probes)):
+                    by: dict[int, list[int]] = {}
+                    for k in near.tolist():
+                        for j in range(first[k], first[k] + parts[k]):
+                            by.setdefault(j, []).append(k)
+                    at += [i] * len(by)
+                    to += by.keys()
+                    lists += by.values()
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *(c.take(pa.array(at)) for c in b.columns)], names=["bin", "lists", "a", "b", "embedding"])
 
     units = materialise(rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("a", "b").agg(F.first("embedding").alias("embedding")), "queries")
-    probes = units.mapInArrow(probe, "list int, part int, a long, b int, embedding array<float>")
-    n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1) if len(parts) <= 64 else None
-    if n_parts is None:
-        split = {k: int(p) for k, p in enumerate(parts) if p > 1}
-        pairs = [x for k, p in split.items() for x in (F.lit(k), F.lit(p))]
-        n_parts = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("list")), F.lit(1)) if pairs else F.lit(1)
-    split_rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts.cast("long")).cast("int"))
+    probes = materialise(units.mapInArrow(probe, "bin int, lists array<int>, a long, b int, embedding array<float>"), "probes")
+    asked = {r["bin"]: -(-r["count"] // QUERIES) for r in probes.groupBy("bin").count().collect()}  # a row a bin
+
+    def into_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row in its bin, once for every group of queries that meet there."""
+        for b in batches:
+            k = b.column(0).to_numpy()
+            ids = b.column(1).to_numpy()
+            own = first[k] + (mix(ids.view(np.uint64)) % parts[k].astype(np.uint64)).astype(int)
+            times = np.array([asked.get(j, 0) for j in own.tolist()], int)
+            at = np.repeat(np.arange(len(k)), times)
+            group = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at], pa.int32()), pa.array(group, pa.int32()), *(c.take(pa.array(at)) for c in b.columns)], names=["bin", "part", "list", "vec_id", "embedding"])
+
+    binned = placed.mapInArrow(into_bins, "bin int, part int, list int, vec_id long, embedding array<float>")
+    groups = F.create_map(*[F.lit(x) for kv in asked.items() for x in kv]) if asked else F.create_map(F.lit(0), F.lit(1))
+    sorted_probes = probes.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.element_at(groups, F.col("bin")).cast("long")).cast("int"))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"a": [], "b": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            left = left.sort_values("vec_id", kind="stable")
+            left = left.sort_values(["list", "vec_id"], kind="stable")
             ids, v = left["vec_id"].to_numpy(), np.stack(left["embedding"].to_numpy()).astype(np.float64)
+            lists = np.unique(left["list"].to_numpy())
+            begin, end = np.searchsorted(left["list"], lists), np.searchsorted(left["list"], lists, "right")
+            place = {k: (x, y) for k, x, y in zip(lists.tolist(), begin.tolist(), end.tolist(), strict=True)}
             q = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-            turned_rows, turned = sent.value.rows(v), sent.value.queries(q)
-            for i, (a, b) in enumerate(zip(right["a"], right["b"], strict=True)):
-                best: list = []
-                for lo in range(0, len(v), 128):
-                    best = scan(q[i], turned[i], turned_rows[lo : lo + 128], ids[lo : lo + 128], v[lo : lo + 128], best)
-                out["a"] += [a] * len(best)
-                out["b"] += [b] * len(best)
-                out["vec_id"] += [x[1] for x in best]
-                out["score"] += [-x[0] for x in best]
+            turned, whole = sent.value.queries(q), sent.value.rows(v)
+            edges = [0, *(x for x in BLOCKS if x < whole.shape[1]), whole.shape[1]]
+            blocks = [np.ascontiguousarray(whole[:, x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+            for i, (a, b, wanted) in enumerate(zip(right["a"], right["b"], right["lists"], strict=True)):
+                best = (np.zeros(0), np.zeros(0, np.int64))
+                base = float((q[i] * q[i]).sum()) + sent.value.norm**2
+                spans = [place[k] for k in wanted if k in place]
+                if not spans:
+                    continue
+                # the nearest list sets a limit, then the others are read in larger steps
+                steps = [np.arange(*spans[0])]
+                rest = np.concatenate([np.arange(x, y) for x, y in spans[1:]]) if len(spans) > 1 else np.zeros(0, int)
+                steps += np.array_split(rest, max(1, -(-len(rest) // STEP)))
+                for at in steps:
+                    if len(at):
+                        best = scan(q[i], turned[i], [x[at] for x in blocks[:1]] + [Lazy(x, at) for x in blocks[1:]], ids[at], Lazy(v, at), best, base)
+                out["a"] += [a] * len(best[0])
+                out["b"] += [b] * len(best[0])
+                out["vec_id"] += best[1].tolist()
+                out["score"] += best[0].tolist()
         return pd.DataFrame(out).astype({"a": "int64", "b": "int32", "vec_id": "int64", "score": "float64"})
 
-    found = split_rows.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInPandas(meet, "a long, b int, vec_id long, score double")
+    found = binned.groupBy("bin", "part").cogroup(sorted_probes.groupBy("bin", "part")).applyInPandas(meet, "a long, b int, vec_id long, score double")
     best = Window.partitionBy("a", "b").orderBy(F.desc("score"), "vec_id")
     answers = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= K + 1).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     mine = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "a", "b").distinct()
