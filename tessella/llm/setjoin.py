@@ -9,12 +9,13 @@ Set relations save work twice.
 * Index lists are kept in blocks by size, and entries carry their position: a probe opens the two blocks that can hold
   partners, and of an entry at position j of y, met at position i of x, no more than min(i, j) + 1 + min(rest) shingles
   can be common.
-* Answers are derived from a similar set's answers. In a first round each set is compared with one other only, the
-  head of the lists that it shares most of. A verified link hangs it under the head, whose answers become its own; pairs
-  within one such tree are then never formed. A second round forms what is left: pairs of one list in different trees.
+* Answers are derived from a similar set's answers. In each of ROUNDS rounds a set is compared with HEADS others only,
+  the heads of the lists that it shares most of. A verified link gives it the head's component and so its answers; pairs
+  within a component are never formed again. What is left then, pairs of one list in different components, is compared
+  in full, so that the number of rounds decides on time and not on results.
 
 Pairs pass a parity bitmap (its Hamming distance bounds the symmetric difference from below) before sets are fetched
-and compared. Trees shrink by pointer jumping, links of the second round by minimum labels, all in written tables.
+and compared. Components are found by minimum labels and pointer jumping over written tables.
 
 Null text, or text without words, has an empty set: n_shingles 0 and a component of its own. Fewer than four words are
 one shingle. Rows that repeat an id are documents each; a null id gives a class no name, and a component of such rows
@@ -30,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, Words, batch, doc_key, materialise, mix, signed, span_hash, words_of
 
 N, NUM, DEN = 4, 85, 100
+ROUNDS, HEADS = 5, 4
 SKETCH = 1 << 20  # counters
 BLOCK = 1 << 16
 BLOOM = 1 << 25  # bits
@@ -70,6 +72,12 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def quick(row: np.ndarray, h: np.ndarray, rows: int) -> list[np.ndarray]:
+    """The parity of 256 cells of each row as four longs, which a join's condition can compare."""
+    odd = np.bincount(row * 256 + ((h >> np.uint64(16)) & np.uint64(255)).astype(np.int64), minlength=rows * 256) & 1
+    return list(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(rows, 4))
+
+
 def apart(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -83,8 +91,8 @@ def apart(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-SETS = "doc_id long, k1 long, k2 long, n int, cls long, bits binary, block int, counts binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+SETS = "doc_id long, k1 long, k2 long, n int, cls long, bits binary, quick array<long>, block int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("quick", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _classes(first: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -102,11 +110,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.searchsorted(row, np.arange(hi - lo + 1))
             n = np.diff(first)
             none = [None] * (hi - lo)
-            yield batch(_SETS, doc_id=b.column(2).slice(lo, hi - lo), k1=b.column(0).slice(lo, hi - lo), k2=b.column(1).slice(lo, hi - lo), n=n, cls=_classes(first, h), bits=[bitmap(h[first[r] : first[r + 1]]) if n[r] else None for r in range(hi - lo)], block=none, counts=none)
+            yield batch(_SETS, doc_id=b.column(2).slice(lo, hi - lo), k1=b.column(0).slice(lo, hi - lo), k2=b.column(1).slice(lo, hi - lo), n=n, cls=_classes(first, h), bits=[bitmap(h[first[r] : first[r + 1]]) if n[r] else None for r in range(hi - lo)], quick=quick(row, h, hi - lo), block=none, counts=none)
     for i in range(SKETCH // BLOCK):
         part = counts[i * BLOCK : (i + 1) * BLOCK]
         if part.any():
-            yield batch(_SETS, doc_id=[None], k1=[None], k2=[None], n=[None], cls=[None], bits=[None], block=[i], counts=[zlib.compress(part.astype("<i8").tobytes(), 1)])
+            yield batch(_SETS, doc_id=[None], k1=[None], k2=[None], n=[None], cls=[None], bits=[None], quick=[None], block=[i], counts=[zlib.compress(part.astype("<i8").tobytes(), 1)])
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,16 +229,6 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "a_members", "b_members").mapInArrow(_compare, "a long, b long")
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(cls, comp) from (cls, comp) where comp is the parent, smaller than cls: pointer jumping, in log(depth) steps."""
-    while True:
-        up = parents.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-        jumped = materialise(parents.join(up, "comp", "left").select("cls", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
-        parents = jumped.select("cls", "comp")
-        if jumped.where("moved").isEmpty():
-            return parents
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of the edges (a, b) reaches; minimum labels and pointer jumping."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
@@ -257,41 +255,73 @@ def can_link(n: Column, m: Column) -> Column:
     return (F.least(n, m).cast("long") * DEN) >= (F.greatest(n, m).cast("long") * NUM)
 
 
+def undecided(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, block, cls, n, pos, comp) of the lists that still hold sets of several components."""
+    known = entries.join(labels, "cls").select("token", size_block(F.col("n")).alias("block"), "cls", "n", "pos", "comp")
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return known.join(mixed, "token")
+
+
+def candidates(entries: DataFrame, turn: int) -> DataFrame:
+    """(a, b, na, nb): for each set up to HEADS heads, of other components, of most of its lists. First the smallest set
+    of a list is its head; in later turns the lists of a set have several heads, by hash."""
+    c = F.col
+    order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("cls", F.pmod("token", F.lit(8)), F.lit(turn))
+    heads = entries.groupBy("token", "block").agg(F.min(F.struct(order.alias("o"), c("cls").alias("cls"), c("n").alias("n"), c("comp").alias("comp"))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "block", "head")
+    votes = entries.join(heads, ["token", "block"]).where((c("comp") != c("head.comp")) & can_link(c("n"), c("head.n")))
+    votes = votes.groupBy(c("cls").alias("b"), c("n").alias("nb"), c("head.cls").alias("a"), c("head.n").alias("na")).count()
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
+    return votes.withColumn("i", rank).where(F.col("i") <= HEADS).select("a", "b", "na", "nb")
+
+
+def remaining(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, na, nb): all pairs of one list in different components that sizes, positions and a short bitmap allow,
+    block by block."""
+    c = F.col
+    entries = entries.join(classes.select("cls", *(F.get("quick", i).alias(f"q{i}") for i in range(4))), "cls")
+    x = entries.select("token", "block", *(c(k).alias(f"x_{k}") for k in ("cls", "n", "pos", "comp", "q0", "q1", "q2", "q3")))
+    y = entries.select("token", F.explode(F.array(c("block"), c("block") - 1)).alias("block"), *(c(k).alias(f"y_{k}") for k in ("cls", "n", "pos", "comp", "q0", "q1", "q2", "q3")))
+    common = F.least("x_pos", "y_pos") + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos"))
+    met = x.join(y, ["token", "block"]).where((c("x_comp") != c("y_comp")) & ((c("x_n") < c("y_n")) | ((c("x_n") == c("y_n")) & (c("x_cls") < c("y_cls")))))
+    met = met.where(can_link(c("x_n"), c("y_n")) & (common.cast("long") * (NUM + DEN) >= (c("x_n") + c("y_n")).cast("long") * NUM))
+    differ = sum((F.bit_count(c(f"x_q{i}").bitwiseXOR(c(f"y_q{i}"))) for i in range(1, 4)), start=F.bit_count(c("x_q0").bitwiseXOR(c("y_q0"))))
+    total = (c("x_n") + c("y_n")).cast("long")
+    need = F.floor((total * NUM + NUM + DEN - 1) / (NUM + DEN))
+    met = met.where(differ <= total - 2 * need)
+    return met.select(c("x_cls").alias("a"), c("y_cls").alias("b"), c("x_n").alias("na"), c("y_n").alias("nb")).distinct()
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cls, comp) after the links (a, b) of sets have joined their components."""
+    of = lambda x: labels.select(F.col("cls").alias(x), F.col("comp").alias(f"{x}_comp"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
+    up = components(between).select(F.col("v").alias("comp"), F.col("comp").alias("low"))
+    return labels.join(up, "comp", "left").select("cls", F.coalesce("low", "comp").alias("comp"))
+
+
 def group(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
     described = materialise(doc_key(docs, "doc_id").select("k1", "k2", "doc_id", "text").mapInArrow(_describe, SETS), "sets")
     rows = described.where("block is null")
-    classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("k1", "k2")).alias("src"), F.min("doc_id").alias("least")), "classes")
+    classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min("doc_id").alias("least")), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
     entries = materialise(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
     lists = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     shared = materialise(entries.join(lists, "token").distinct(), "shared")
 
-    heads = shared.groupBy("token", size_block(F.col("n")).alias("block")).agg(F.min(F.struct("cls", "n")).alias("head"), F.max("cls").alias("hi")).where("head.cls <> hi").select("token", "block", "head")
-    votes = shared.withColumn("block", size_block(F.col("n"))).join(heads, ["token", "block"]).where(F.col("cls") != F.col("head.cls")).where(can_link(F.col("n"), F.col("head.n")))
-    votes = votes.groupBy("cls", "n", "head").count()
-    first = votes.groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("count", F.struct(-F.col("head.cls"), "head", "n"))).alias("x")).select(F.col("x.col2.head.cls").alias("a"), "b", F.col("x.col2.head.n").alias("na"), F.col("x.col2.n").alias("nb"))
-    trees = roots(materialise(links(docs, classes, first).select(F.col("b").alias("cls"), F.col("a").alias("comp")), "trees"))
-
-    known = shared.join(trees, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"), size_block(F.col("n")).alias("block"))
-    known = materialise(known, "known")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    left = known.join(mixed, "token")
-    x = left.select("token", "block", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "comp")))
-    y = left.select("token", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"), *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "comp")))
-    c = F.col
-    common = F.least("x_pos", "y_pos") + 1 + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos")) - 1
-    met = x.join(y, ["token", "block"]).where((c("x_comp") != c("y_comp")) & ((c("x_n") < c("y_n")) | ((c("x_n") == c("y_n")) & (c("x_cls") < c("y_cls")))))
-    met = met.where(can_link(c("x_n"), c("y_n")) & (common.cast("long") * (NUM + DEN) >= (c("x_n") + c("y_n")).cast("long") * NUM))
-    rest = met.select(c("x_cls").alias("a"), c("y_cls").alias("b"), c("x_n").alias("na"), c("y_n").alias("nb")).distinct()
-    more = materialise(links(docs, classes, rest), "links")
-    name = trees.select("cls", "comp")
-    up = lambda df, v: df.join(name.select(F.col("cls").alias(v), F.col("comp").alias(f"{v}_comp")), v, "left").withColumn(v, F.coalesce(f"{v}_comp", v)).drop(f"{v}_comp")
-    joined = components(up(up(more, "a"), "b").select("a", "b"))
-
-    comp = classes.select("cls", "least").join(trees, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("v")).join(joined, "v", "left").select("cls", "least", F.coalesce("comp", "v").alias("comp"))
-    comp = materialise(comp, "components")
+    labels = materialise(shared.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
+    left = shared
+    for turn in range(ROUNDS):
+        left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels), "undecided")
+        new = materialise(links(docs, classes, candidates(left, turn)), "links")
+        if new.isEmpty():
+            break
+        labels = materialise(joined_labels(labels, new), "labels")
+    left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels), "undecided")
+    labels = materialise(joined_labels(labels, materialise(links(docs, classes, remaining(left, classes)), "links")), "labels")
+
+    comp = materialise(classes.select("cls", "least").join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "components")
     least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = materialise(comp.join(least, "comp").select("cls", "component_id"), "named")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
