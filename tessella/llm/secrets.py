@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch
+from .common import batch, texts
 
 # fixed values
 BASE = (
@@ -75,7 +75,7 @@ def entropy_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged windows of ``s`` whose entropy reaches ``bits``; incremental, so linear in the length."""
     if len(s) < window:
         return []
-    nlog = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    nlog = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     limit, counts, total, out = (math.log2(window) - bits) * window + 1e-9, {}, 0.0, []
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
@@ -135,7 +135,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with its secrets; one pass, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(scan_batches, DDL)
+    return texts(docs).select("doc_id", "text").mapInArrow(scan_batches, DDL)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
