@@ -8,8 +8,10 @@ that, its number of words), never the partition.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+# memory of a batch goes back to the system when the batch is done, not into a pool of the worker
+pa.set_memory_pool(pa.system_memory_pool())
+
+PIECE = 1 << 18
+ROWS = 1000  # of texts in an Arrow batch
 MASK = (1 << 64) - 1
 _BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
@@ -35,8 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    free(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so when the driver has collected what named them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts then go to Python in batches of at most ROWS rows."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return docs
 
 
 def doc_key(docs: DataFrame, *keep: str) -> DataFrame:
@@ -45,7 +74,7 @@ def doc_key(docs: DataFrame, *keep: str) -> DataFrame:
     Rows that repeat both the id and the text share their key, so what is found for one of them holds for each.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k1"), F.xxhash64("doc_id", text).alias("k2"), text.alias("text"), *keep)
+    return texts(docs).select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k1"), F.xxhash64("doc_id", text).alias("k2"), text.alias("text"), *keep)
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,3 +211,39 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+
+
+BLOOM = 1 << 25  # bits
+
+
+def bloom_slots(h: np.ndarray) -> np.ndarray:
+    return np.stack([(mix(h + np.uint64(i)) % np.uint64(BLOOM)).astype(np.int64) for i in range(2)])
+
+
+def bloom_of(keys: DataFrame) -> bytes:
+    """A filter of fixed size over the column of ``keys``, put together from the bytes that are not zero."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM // 8, np.uint8)
+        for b in batches:
+            s = bloom_slots(b.column(0).to_numpy().view(np.uint64)).ravel()
+            np.bitwise_or.at(bits, s >> 3, (1 << (s & 7)).astype(np.uint8))
+        for i in np.flatnonzero(bits.reshape(64, -1).any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(bits.reshape(64, -1)[i].tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+    def merge(pdf):
+        import pandas as pd
+
+        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [zlib.compress(out.tobytes(), 1)]})
+
+    whole = np.zeros((64, BLOOM // 8 // 64), np.uint8)
+    for r in keys.mapInArrow(slots, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect():
+        whole[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return whole.tobytes()
+
+
+def in_bloom(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the filter: all that are, few that are not while it is sparse."""
+    s, table = bloom_slots(np.asarray(keys).view(np.uint64)), np.frombuffer(bits, np.uint8)
+    return ((table[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(0)

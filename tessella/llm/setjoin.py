@@ -34,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, batch, doc_key, materialise, mix, signed, span_hash, words_of
+from .common import SPACED, Words, batch, bloom_of, discard, doc_key, in_bloom, materialise, mix, signed, span_hash, texts, words_of
 
 N, NUM, DEN = 4, 85, 100
 ROUNDS, HEADS = 5, 4
 SKETCH = 1 << 20  # counters
 BLOCK = 1 << 16
-BLOOM = 1 << 25  # bits
 
 
 def at_least(total: int | np.ndarray) -> int | np.ndarray:
@@ -163,42 +162,14 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
 
 
-def _bloom_slots(h: np.ndarray) -> np.ndarray:
-    return np.stack([(mix(h + np.uint64(i)) % np.uint64(BLOOM)).astype(np.int64) for i in range(2)])
-
-
-def _bloom(keys: DataFrame) -> bytes:
-    """A filter of fixed size over the column of ``keys``, put together from the bytes that are not zero."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM // 8, np.uint8)
-        for b in batches:
-            s = _bloom_slots(b.column(0).to_numpy().view(np.uint64)).ravel()
-            np.bitwise_or.at(bits, s >> 3, (1 << (s & 7)).astype(np.uint8))
-        for i in np.flatnonzero(bits.reshape(64, -1).any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(bits.reshape(64, -1)[i].tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [zlib.compress(out.tobytes(), 1)]})
-
-    whole = np.zeros((64, BLOOM // 8 // 64), np.uint8)
-    for r in keys.mapInArrow(slots, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect():
-        whole[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return whole.tobytes()
-
-
 MEMBERS = "k1 long, k2 long, members binary"
 _MEMBERS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("members", pa.binary())])
 
 
 def _fetch(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bloom.value, np.uint8)
         for b in batches:
-            s = _bloom_slots(b.column(1).to_numpy().view(np.uint64))
-            ok = ((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(0)
-            b = b.filter(pa.array(ok))
+            b = b.filter(pa.array(in_bloom(bloom.value, b.column(1).to_numpy())))
             for lo, hi, w in words_of(b.column(2), SPACED, lower=True) if b.num_rows else ():
                 row, h = shingles(w)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -223,7 +194,7 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("bits").alias(f"{x}_bits"))
     near = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(_near, "a long, b long, na int, nb int"), "near")
     need = materialise(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "src.k1", "src.k2"), "cls"), "need")
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(need.select("k2")))
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(need.select("k2")))
     members = materialise(doc_key(docs).mapInArrow(_fetch(bloom), MEMBERS).join(need, ["k1", "k2"]).groupBy("cls").agg(F.first("members").alias("members")), "members")
     got = lambda x: members.select(F.col("cls").alias(x), F.col("members").alias(f"{x}_members"))
     return near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "a_members", "b_members").mapInArrow(_compare, "a long, b long")
@@ -306,9 +277,10 @@ def group(docs: DataFrame) -> DataFrame:
     rows = described.where("block is null")
     classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min("doc_id").alias("least")), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
-    entries = materialise(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
+    entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
     lists = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     shared = materialise(entries.join(lists, "token").distinct(), "shared")
+    discard(entries)
 
     labels = materialise(shared.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     left = shared

@@ -2,7 +2,7 @@
 
 Every SPAN consecutive words are an edge of the graph, from their first SPAN - 1 words to their last. As in parallel
 compaction of genome graphs, edges are bucketed by minimizer, the smallest hash of their K-word runs: a run of
-successive edges with one minimizer occurrence is a super-edge, about one for fifteen words, and only super-edges are
+successive edges with one minimizer occurrence is a super-edge, about one for twelve words, and only super-edges are
 shuffled. Equal edges have equal minimizers at equal offsets, so they always meet in one bucket.
 
 1. Per minimizer: how many super-edges, and whether all read alike. Single ones are unique paths and drop out.
@@ -13,8 +13,8 @@ shuffled. Equal edges have equal minimizers at equal offsets, so they always mee
 4. Repeated runs go back to the source coordinates of every super-edge through joins, are glued document by document
    into spans, and the words under them are removed.
 
-Hot buckets are counted with partial aggregates and joined with plain equi-joins, which Spark splits by skew. An edge
-is identified by 128 bits (minimizer and content). Null text has no words. Rows that repeat id and text are documents
+Hot buckets are counted with partial aggregates and joined with plain equi-joins, which Spark splits by skew. Super-edges and
+edges are compared by 64-bit hashes of their words. Null text has no words. Rows that repeat id and text are documents
 of their own and so repeat each other. An empty table gives an empty result.
 """
 
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, batch, doc_key, materialise, mix, signed, sliding_min, span_hash, words_of
+from .common import SPACED, Words, batch, bloom_of, discard, doc_key, in_bloom, materialise, mix, signed, sliding_min, span_hash, words_of
 
-SPAN, K = 35, 6
+SPAN, K = 35, 12
 _LOW = np.uint64((1 << 24) - 1)
 
 SUPER = "k1 long, k2 long, m long, c long, s int, n int"
@@ -69,8 +69,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_SUPER, k1=k1[lo + e["row"]], k2=k2[lo + e["row"]], m=e["m"], c=e["c"], s=e["s"], n=e["n"])
 
 
-EDGES = "m long, c long, edge long, j int"
-_EDGES = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("edge", pa.int64()), ("j", pa.int32())])
+EDGES = "c long, edge long, j int"
+_EDGES = pa.schema([("c", pa.int64()), ("edge", pa.int64()), ("j", pa.int32())])
 
 
 def _read_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,17 +78,26 @@ def _read_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         wanted = b.column(1).to_pylist()
         for lo, hi, w in words_of(b.column(0), SPACED):
-            m, c, at, j = [], [], [], []
+            c, at, j = [], [], []
             for r in range(lo, hi):
                 for x in wanted[r]:
                     span = np.arange(x["n"])
-                    m.append(np.full(x["n"], x["m"]))
                     c.append(np.full(x["n"], x["c"]))
                     at.append(w.first[r - lo] + x["s"] + span)
                     j.append(span)
-            if m:
+            if c:
                 at = np.concatenate(at)
-                yield batch(_EDGES, m=np.concatenate(m), c=np.concatenate(c), edge=signed(span_hash(w.hash, at, at + SPAN)), j=np.concatenate(j))
+                yield batch(_EDGES, c=np.concatenate(c), edge=signed(span_hash(w.hash, at, at + SPAN)), j=np.concatenate(j))
+
+
+def _only(bloom):
+    """Of (k1, k2, text) the rows whose k2 may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bloom(bloom.value, b.column(1).to_numpy())))
+
+    return run
 
 
 DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -134,22 +143,24 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     keyed = doc_key(docs)
     supers = materialise(keyed.mapInArrow(_emit, SUPER), "super-edges")
     buckets = supers.groupBy("m").agg(F.count("*").alias("copies"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("copies > 1").select("m", (F.col("lo") != F.col("hi")).alias("branches"))
-    met = materialise(supers.join(buckets, "m"), "repeated")
+    met = materialise(supers.join(buckets, "m").select("k1", "k2", "c", "s", "n", "branches"), "repeated")
+    discard(supers)
     whole = met.where("not branches").select("k1", "k2", F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi"))).alias("runs"))
     branching = met.where("branches")
-    readings = materialise(branching.groupBy("m", "c").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "s", "n")).alias("x")), "readings")
-    wanted = readings.select("x.k1", "x.k2", F.struct("m", "c", "x.s", "x.n").alias("y")).groupBy("k1", "k2").agg(F.collect_list("y").alias("wanted"))  # within one text
-    one = keyed.join(wanted, ["k1", "k2"])
-    edges = one.select("text", "wanted").mapInArrow(_read_edges, EDGES).distinct()
-    shared = edges.groupBy("m", "edge").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("m", "edge")
-    again = edges.join(shared, ["m", "edge"]).groupBy("m", "c").agg(F.array_sort(F.collect_set("j")).alias("js"))  # at most SPAN
-    found = readings.select("m", "c", "copies").join(again, ["m", "c"], "left").where("copies > 1 or js is not null")
-    parts = branching.join(found, ["m", "c"]).select(
+    readings = materialise(branching.groupBy("c").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "s", "n")).alias("x")), "readings")
+    wanted = materialise(readings.select("x.k1", "x.k2", F.struct("c", "x.s", "x.n").alias("y")).groupBy("k1", "k2").agg(F.collect_list("y").alias("wanted")), "wanted")  # within one text
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("k2")))
+    edges = materialise(keyed.mapInArrow(_only(bloom), "k1 long, k2 long, text string").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_read_edges, EDGES), "edges")
+    shared = edges.groupBy("edge").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("edge")
+    again = edges.join(shared, "edge").groupBy("c").agg(F.array_sort(F.collect_set("j")).alias("js"))  # at most SPAN
+    found = materialise(readings.select("c", "copies").join(again, "c", "left").where("copies > 1 or js is not null"), "found")
+    discard(edges)
+    parts = branching.join(found, "c").select(
         "k1", "k2",
         F.when(F.col("copies") > 1, F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi"))))
         .otherwise(F.transform("js", lambda j: F.struct((F.col("s") + j).alias("lo"), (F.col("s") + j + 1).alias("hi")))).alias("runs"),
     )
-    return whole.unionByName(parts).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))  # within one text
+    return materialise(whole.unionByName(parts).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs")), "runs")  # within one text
 
 
 def remove(docs: DataFrame) -> DataFrame:
