@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, batch, materialise, mix, signed, sliding_min, words_of
+from .common import ALNUM, Words, batch, materialise, mix, signed, sliding_min, texts, words_of
 
 N, K = 10, 5
 W = N - K + 1
@@ -150,7 +150,7 @@ def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(_items, ITEMS), "fingerprints")
     kinds = [r[0] for r in items.where("kind > 0").select("kind").distinct().collect()]  # at most K values
     bloom = spark.sparkContext.broadcast(bloom_of(items))
-    found = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_find(bloom, sorted(kinds)), FOUND)
+    found = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_find(bloom, sorted(kinds)), FOUND)
     flat = found.select("doc_id", "row", "n_words", F.explode_outer("hits").alias("h")).select("doc_id", "row", "n_words", "h.at", "h.left", "h.kind", "h.words", F.coalesce("h.hash", F.lit(-1) - F.col("row")).alias("key"), F.coalesce("h.kind", F.lit(-1)).alias("key_kind"))
     theirs = items.select("item_id", F.col("at").alias("i_at"), F.col("n").alias("i_n"), F.col("words").alias("i_words"), F.col("hash").alias("key"), F.col("kind").alias("key_kind"))
     met = flat.join(theirs, ["key", "key_kind"], "left").select("doc_id", "row", "n_words", "at", "left", "kind", "words", "item_id", "i_at", "i_n", "i_words")

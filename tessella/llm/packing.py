@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, pieces, span_hash, string_parts
+from .common import batch, pieces, span_hash, string_parts, texts
 
 WINDOW, CUT, BATCH, END = 1024, 256, 48, 0
 CACHE = 400_000  # pre-tokens
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, c
 
         return Encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
-    return docs.select("doc_id", "text").mapInArrow(_pack(make, window, cut, group), DDL)
+    return texts(docs).select("doc_id", "text").mapInArrow(_pack(make, window, cut, group), DDL)
 
 
 def op8_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

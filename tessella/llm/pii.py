@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialise
+from .common import batch, materialise, texts
 
 # fixed values
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -216,7 +216,7 @@ def detect(docs: DataFrame, name: str = "pii") -> DataFrame:
 
     The table of vote patterns that goes to the driver has at most 3**4 * 2**8 rows a kind, whatever the input.
     """
-    found = materialise(docs.select("doc_id", "text").mapInArrow(find_batches, FOUND), name)
+    found = materialise(texts(docs).select("doc_id", "text").mapInArrow(find_batches, FOUND), name)
     grouped = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
     groups = sorted((r[0], r[1], r[2]) for r in grouped.collect())
     model = estimate(groups)
@@ -243,7 +243,7 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and n_chars made to fit. The model is fitted on a first pass
     over all documents; a second pass finds the spans again and replaces them, so no join moves the texts."""
-    grouped = docs.select("doc_id", "text").mapInArrow(find_batches, FOUND).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
+    grouped = texts(docs).select("doc_id", "text").mapInArrow(find_batches, FOUND).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
     model = estimate(sorted((r[0], r[1], r[2]) for r in grouped.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
             yield b
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = texts(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))) if "n_chars" in out.columns else out
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, batch, mix, pieces, string_parts, words_of
+from .common import ALNUM, Words, batch, mix, pieces, string_parts, texts, words_of
 
 CUT = 0.7
 MAX_LABELLED = 4000
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = ids.slice(lo, hi - lo)
                 yield batch(_SCHEMA, doc_id=own, held_out=[i is not None and held_out(i) for i in own.to_pylist()], score=s, predicted=(s >= CUT).astype(np.int32), language=[LANGUAGES[i] for i in languages(w)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DDL)
+    return texts(docs).select("doc_id", "text").mapInArrow(run, DDL)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -264,7 +264,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             ok = [sent.value.scores(w) < CUT for _, _, w in words_of(text, ALNUM, True)]
             yield b.filter(pa.array(np.concatenate(ok))) if ok else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
