@@ -149,7 +149,11 @@ def run_search(spark: SparkSession, config: cfg.SearchConfig, cut=None) -> DataF
     stages = [S.Stage(tuple(s.rectangles), s.n_psi, tuple(s.planes) if s.planes is not None else None, s.level, s.rings, S.Decision(**s.decision.model_dump())) for s in config.stages]
     k_max = max(r[0] + r[2] for s in stages for r in s.rectangles)
     eig_max = max(r[1] + r[3] for s in stages for r in s.rectangles)
-    cut = cut or (lambda df, name: df.checkpoint())
+    if cut is None:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(f"{config.output}/checkpoints")
+        cut = lambda df, name: df.checkpoint()
     table = cut(features(images.withColumn("data", _normalised("data")), kernels(t["vh"], grid, k_max, eig_max), ctf_bank(spark, config, h, w), h, w), "features")
     weights = C.weights_of(t["u"].select("n", "k", "m", "re", "im"), t["s"])
     rows = t["orientations"].count()
