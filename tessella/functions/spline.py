@@ -77,3 +77,64 @@ def warp_to_image(polar: np.ndarray, grid, order: int = 5, preserve_energy: bool
     r, a = grid.to_polar(row, col, ARRAYS)
     out = sample(work, a + wrap, np.maximum(r + front, 0), order)
     return np.where(r <= grid.num_radius - 1, out, 0)
+
+
+class WarpAdjoint:
+    """The transpose of ``warp_to_image`` as a sparse table (pixel, coefficient, weight): what an image says of each
+    polar sample. Features of a box then need a sparse product and small dense ones instead of a warped kernel per cell."""
+
+    def __init__(self, grid, order: int = 5, pad: int = 12):
+        from .polar import ARRAYS
+
+        self.grid, self.order, self.pad, self.wrap = grid, order, pad, 4 * order
+        probe, self.front = grid.pad_radial(np.zeros((grid.num_angle, grid.num_radius)))
+        self.rows, self.cols = grid.num_angle + 2 * self.wrap + 2 * pad, probe.shape[1] + 2 * pad
+        row, col = np.indices((grid.height, grid.width)).astype(float)
+        r, a = grid.to_polar(row.ravel(), col.ravel(), ARRAYS)
+        inside = (r <= grid.num_radius - 1) & (a + self.wrap <= grid.num_angle + 2 * self.wrap - 1)
+        lo_a, wa = taps(a + self.wrap, order)
+        lo_r, wr = taps(np.maximum(r + self.front, 0), order)
+        k = np.arange(order + 1)
+        coefficient = (lo_a[:, None, None] + k[:, None] + pad) * self.cols + lo_r[:, None, None] + k[None, :] + pad
+        weight = wa[:, :, None] * wr[:, None, :] * inside[:, None, None]
+        pixel = np.broadcast_to(np.arange(len(r))[:, None, None], weight.shape)
+        keep = weight != 0
+        self.pixel, self.coefficient, self.weight = pixel[keep], coefficient[keep], weight[keep]
+
+    def table(self, spark):
+        """(pixel, coefficient, weight) as a DataFrame, for the product as a join."""
+        import pandas as pd
+
+        return spark.createDataFrame(pd.DataFrame({"pixel": self.pixel, "coefficient": self.coefficient, "weight": self.weight}))
+
+    def scatter(self, image: np.ndarray) -> np.ndarray:
+        """Spline coefficients' share of an image: (rows, cols)."""
+        return np.bincount(self.coefficient, self.weight * image.ravel()[self.pixel], self.rows * self.cols).reshape(self.rows, self.cols)
+
+    def apply(self, image: np.ndarray) -> np.ndarray:
+        """(angle, radius): the transpose of the whole warp, prefilter, wrapping, continuation and areas included."""
+        g = self.grid
+        c = self.scatter(image)
+        if self.order > 1:
+            c = _inverse(self.order, self.rows).T @ c @ _inverse(self.order, self.cols)
+        c = c[self.pad : self.rows - self.pad, self.pad : self.cols - self.pad]
+        out = c[self.wrap : -self.wrap].copy()
+        reps = -(-self.wrap // g.num_angle)
+        for i in range(1, reps + 1):  # wrapped rows fold back
+            n = min(g.num_angle, self.wrap - (i - 1) * g.num_angle)
+            at = self.wrap - (i - 1) * g.num_angle
+            out[-n:] += c[at - n : at]
+            out[:n] += c[self.wrap + i * g.num_angle : self.wrap + i * g.num_angle + n]
+        body = out[:, self.front : self.front + g.num_radius].copy()
+        tail = out[:, self.front + g.num_radius :]
+        for j in range(tail.shape[1]):  # mirrored rings
+            body[:, g.num_radius - 2 - j] += tail[:, j]
+        if self.front:
+            op, _ = g.continuation()
+            front = out[:, : self.front][:, ::-1]
+            eye = np.fft.rfft(np.eye(g.num_angle), axis=0)
+            for i in range(len(op)):
+                for ring in np.flatnonzero(np.abs(op[i]).max(1)):
+                    m = np.fft.irfft(op[i, ring][:, None] * eye, n=g.num_angle, axis=0)
+                    body[:, ring] += m.T @ front[:, i]
+        return body / np.sqrt(g.areas())

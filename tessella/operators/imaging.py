@@ -95,14 +95,17 @@ def image_rows(pixels: DataFrame, h: int, w: int) -> DataFrame:
 def per_image(images: DataFrame, kernel, h: int, w: int, schema: str) -> DataFrame:
     """Rows that ``kernel(image_id, array)`` yields as tuples, for each image; an image at a time is in memory."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    want = to_arrow_schema(StructType.fromDDL(schema))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 data = np.asarray(b.column(1)[i].values.to_numpy(zero_copy_only=False)).reshape(h, w)
                 got = kernel(b.column(0)[i].as_py(), data)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(got), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in want], schema=want)
 
     return images.select("image_id", "data").mapInArrow(run, schema)
 

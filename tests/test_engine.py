@@ -260,3 +260,53 @@ def test_energies_of_nothing(spark):
     assert I.search_grid((8, 8), (8, 8)) == ((1, 1), (0, 0))
     with pytest.raises(ValueError):
         I.search_grid((4, 4), (8, 8))
+
+
+def test_adjoint_of_the_warp():
+    from tessella.functions.spline import WarpAdjoint
+
+    rng = np.random.default_rng(0)
+    g = PolarGrid.of_image("spiral", (16, 16), 14, 40)
+    polar, image = rng.normal(size=(40, 14)), rng.normal(size=(16, 16))
+    a = (warp_to_image(polar, g) * image).sum()
+    b = (polar * WarpAdjoint(g).apply(image)).sum()
+    assert abs(a - b) < 1e-8 * max(1, abs(a))
+
+
+def test_errors_and_guards(spark):
+    from tessella.operators import errors as R
+
+    bins = I.radial_bins(spark, 8, 8, 6)
+    spec = spark.createDataFrame([(0, ky, kx, float(ky + 1), float(kx)) for ky in range(8) for kx in range(5)], "n int, ky int, kx int, re double, im double")
+    half = spec.withColumn("re", F.col("re") * 0.5).withColumn("im", F.col("im") * 0.5)
+    prof = R.error_profiles(half, spec, spec, bins, ["n"]).toPandas()
+    np.testing.assert_allclose(prof["rec_auto"], prof["res_auto"])
+    np.testing.assert_allclose(prof["sig_rec"], 2 * prof["rec_auto"])
+    got = R.summaries(R.residual_energy(spec, half, bins, ["n"])).collect()
+    assert len(got) == 1 + 6 + 1 and all(abs(r["error"] - 0.5) < 1e-9 for r in got)
+    assert R.check_bins(bins, 6).count() == 6
+    f = spec.select("ky", "kx", F.col("re").alias("value"))
+    assert R.check_filter(f, f).count() == 1
+    with pytest.raises(Exception, match="another filter"):
+        R.check_filter(f, f.withColumn("value", F.col("value") + 1)).collect()
+
+
+def test_prepared_images(spark):
+    from tessella.operators import micrograph as G
+
+    rng = np.random.default_rng(0)
+    rows = [(i, r, c, float(v)) for i in range(2) for (r, c), v in np.ndenumerate(rng.normal(size=(12, 12)))]
+    px = spark.createDataFrame(rows, "image_id int, row int, col int, value double")
+    images = I.image_rows(px, 12, 12)
+    amp = I.amplitude_spectrum(I.spectra(images, 12, 12), 12, 12, 8)
+    avg = I.whitening_curve(I.average_spectrum(amp).withColumn("image_id", F.lit(0)))
+    cor = I.correction_curve(amp)
+    out = G.whiten(images, G.image_filter(avg, cor, 12, 12, 8), 12, 12)
+    stats = out.groupBy("image_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect()
+    assert len(stats) == 2 and all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in stats)
+    planes = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 2.0, -0.1, 0.0)], "plane int, defocus double, astigmatism double, angle double")
+    white = I.spectra(I.image_rows(out, 12, 12), 12, 12)
+    cur = G.curves(white, I.ctf(I.rfft_grid(spark, 12, 12), planes, 1.5), cor, 12, 12, 8).toPandas()
+    assert len(cur) == 2 * 2 * 8 and (cur[["noise", "signal"]] >= 0).all().all()
+    lev = G.level_map(out, 3).groupBy("image_id").agg(F.avg("level").alias("m")).collect()
+    assert all(abs(r["m"] - 1) < 1e-9 for r in lev)
