@@ -142,7 +142,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(k1, k2, runs): for each document key, first and end (exclusive) of its runs of repeated edges."""
     keyed = doc_key(docs)
     supers = materialise(keyed.mapInArrow(_emit, SUPER), "super-edges")
-    buckets = supers.groupBy("m").agg(F.count("*").alias("copies"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("copies > 1").select("m", (F.col("lo") != F.col("hi")).alias("branches"))
+    # written tables meet in joins whose two sides are dealt out anew: those Spark can split where a key is hot
+    buckets = materialise(supers.groupBy("m").agg(F.count("*").alias("copies"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("copies > 1").select("m", (F.col("lo") != F.col("hi")).alias("branches")), "buckets")
     met = materialise(supers.join(buckets, "m").select("k1", "k2", "c", "s", "n", "branches"), "repeated")
     discard(supers)
     whole = met.where("not branches").select("k1", "k2", F.array(F.struct(F.col("s").alias("lo"), (F.col("s") + F.col("n")).alias("hi"))).alias("runs"))
@@ -151,7 +152,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     wanted = materialise(readings.select("x.k1", "x.k2", F.struct("c", "x.s", "x.n").alias("y")).groupBy("k1", "k2").agg(F.collect_list("y").alias("wanted")), "wanted")  # within one text
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("k2")))
     edges = materialise(keyed.mapInArrow(_only(bloom), "k1 long, k2 long, text string").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_read_edges, EDGES), "edges")
-    shared = edges.groupBy("edge").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("edge")
+    shared = materialise(edges.groupBy("edge").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("edge"), "shared")
     again = edges.join(shared, "edge").groupBy("c").agg(F.array_sort(F.collect_set("j")).alias("js"))  # at most SPAN
     found = materialise(readings.select("c", "copies").join(again, "c", "left").where("copies > 1 or js is not null"), "found")
     discard(edges)
