@@ -278,7 +278,8 @@ def group(docs: DataFrame) -> DataFrame:
     classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min("doc_id").alias("least")), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
     entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
-    lists = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
+    # a written table meets the entries in a join whose two sides are dealt out anew, which Spark can split at hot tokens
+    lists = materialise(entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token"), "lists")
     shared = materialise(entries.join(lists, "token").distinct(), "shared")
     discard(entries)
 
