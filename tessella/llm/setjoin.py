@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import SPACED, Words, batch, bloom_of, discard, doc_key, in_bloom, materialise, mix, signed, span_hash, texts, words_of
 
 N, NUM, DEN = 4, 85, 100
-ROUNDS, HEADS = 5, 4
+ROUNDS, HEADS = 2, 4
 SKETCH = 1 << 20  # counters
 BLOCK = 1 << 16
 
