@@ -1,13 +1,14 @@
 """Documents to training sequences: five stages, each working on all that the one before it kept.
 
 toxicity          documents that the classifier rejects go
-near_duplicates   of each component of the n-gram Jaccard join the document with the smallest id stays
+near_duplicates   of each component of the n-gram Jaccard join the document with the smallest id stays (rows without one come last)
 decontamination   documents that share a window with a benchmark item go
 pii               personal data in the texts is replaced by its kind
 packing           the texts' tokens in sequences of at most 1024
 
-All stages but the last return the columns of their input. Documents without an id stay unless their own text is
-rejected; rows that repeat an id and a text are near duplicates of each other.
+All stages but the last return the columns of their input. A row is removed for its own id and text, so that rows that
+repeat an id with other texts, or have none, are documents each. Of rows that repeat an id and a text the one with the
+smallest other columns stays; texts without words repeat nothing where they have no id.
 """
 
 from __future__ import annotations
@@ -16,26 +17,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, packing, pii, setjoin, toxicity
-from tessella.llm.common import materialise
+from tessella.llm.common import key_columns, materialise
+
+KEY = ["_k1", "_k2"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *(v.alias(f"_{k}") for k, v in key_columns().items()))
+
+
+def keys_of(found: DataFrame) -> DataFrame:
+    return found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = materialise(setjoin.group(docs), "groups")
-    gone = grouped.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    one = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return one.unionByName(kept.where("doc_id is null"))
+    grouped = materialise(setjoin.members(docs), "groups")
+    kept = with_key(docs).join(keys_of(grouped.where("not stays")), KEY, "left_anti")
+    again = keys_of(grouped.where("stays and (n_shingles > 0 or doc_id is not null)").groupBy("k1", "k2").count().where("count > 1"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    marked = kept.join(again.withColumn("_again", F.lit(True)), KEY, "left")
+    one = marked.where("_again").groupBy(*KEY).agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return marked.where("_again is null").select(*docs.columns).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("lo is not null")
+    return with_key(docs).join(keys_of(found), KEY, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

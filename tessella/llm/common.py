@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # memory of a batch goes back to the system when the batch is done, not into a pool of the worker
@@ -73,8 +73,12 @@ def doc_key(docs: DataFrame, *keep: str) -> DataFrame:
 
     Rows that repeat both the id and the text share their key, so what is found for one of them holds for each.
     """
-    text = F.coalesce("text", F.lit(""))
-    return texts(docs).select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k1"), F.xxhash64("doc_id", text).alias("k2"), text.alias("text"), *keep)
+    return texts(docs).select(*(v.alias(k) for k, v in key_columns().items()), F.coalesce("text", F.lit("")).alias("text"), *keep)
+
+
+def key_columns() -> dict[str, Column]:
+    """The key of ``doc_key`` as columns."""
+    return {"k1": F.coalesce("doc_id", F.lit(-(1 << 62))), "k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))}
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

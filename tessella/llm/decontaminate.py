@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, batch, materialise, mix, signed, sliding_min, texts, words_of
+from .common import ALNUM, Words, batch, doc_key, materialise, mix, signed, sliding_min, words_of
 
 N, K = 10, 5
 W = N - K + 1
@@ -80,8 +80,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(_ITEMS, **rows)
 
 
-FOUND = "doc_id long, row long, n_words long, hits array<struct<hash:long,at:int,left:int,kind:int,words:string>>"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])))])
+FOUND = "doc_id long, k1 long, k2 long, row long, n_words long, hits array<struct<hash:long,at:int,left:int,kind:int,words:string>>"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("kind", pa.int32()), ("words", pa.string())])))])
 
 
 def _find(bloom, short: list[int]):
@@ -95,20 +95,20 @@ def _find(bloom, short: list[int]):
             return at[ok], h[ok]
 
         for b in batches:
-            for lo, hi, w in words_of(b.column(2), ALNUM, lower=True):
+            for lo, hi, w in words_of(b.column(4), ALNUM, lower=True):
                 hits: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for kind in (0, *short):
                     for i, h in zip(*passing(*(winnow(w) if kind == 0 else w.grams(kind))), strict=True):
                         r = w.row[i]
                         left = int(min(N - K, i - w.first[r])) if kind == 0 else 0
                         hits[r].append({"hash": int(signed(np.array([h]))[0]), "at": int(i - w.first[r]), "left": left, "kind": kind, "words": context(w, i, i - left, i + N)})
-                yield batch(_FOUND, doc_id=b.column(0).slice(lo, hi - lo), row=b.column(1).slice(lo, hi - lo), n_words=w.count, hits=hits)
+                yield batch(_FOUND, **{k: b.column(i).slice(lo, hi - lo) for i, k in enumerate(("doc_id", "k1", "k2", "row"))}, n_words=w.count, hits=hits)
 
     return run
 
 
-SPANS = "doc_id long, row long, n_words long, item_id string, lo int, hi int"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
+SPANS = "doc_id long, k1 long, k2 long, row long, n_words long, item_id string, lo int, hi int"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def extend(mine: list[str], left: int, theirs: list[str], at: int, kind: int, n: int) -> tuple[int, int] | None:
@@ -129,20 +129,20 @@ def extend(mine: list[str], left: int, theirs: list[str], at: int, kind: int, n:
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, row, n_words, at, left, kind, words, item, i_at, i_n, i_words = (c.to_pylist() for c in b.columns)
+        doc, k1, k2, row, n_words, at, left, kind, words, item, i_at, i_n, i_words = (c.to_pylist() for c in b.columns)
         rows = {f.name: [] for f in _SPANS}
         for r in range(b.num_rows):
             lo = hi = None
             if item[r] is not None:
                 got = extend(words[r].split(" "), left[r], i_words[r].split(" "), min(N - K, i_at[r]) if not kind[r] else 0, kind[r], i_n[r])
                 lo, hi = (at[r] + got[0], at[r] + got[1]) if got else (None, None)
-            for k, v in zip(rows, (doc[r], row[r], n_words[r], item[r] if lo is not None else None, lo, hi), strict=True):
+            for k, v in zip(rows, (doc[r], k1[r], k2[r], row[r], n_words[r], item[r] if lo is not None else None, lo, hi), strict=True):
                 rows[k].append(v)
         yield batch(_SPANS, **rows)
 
 
 def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, row, n_words, item_id, lo, hi): words lo..hi of the document are words of the item. One pass over the texts.
+    """(doc_id, k1, k2, row, n_words, item_id, lo, hi): words lo..hi of the document are words of the item. One pass over the texts.
 
     Every document has at least one row, with null item and words where nothing is shared.
     """
@@ -150,10 +150,10 @@ def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(_items, ITEMS), "fingerprints")
     kinds = [r[0] for r in items.where("kind > 0").select("kind").distinct().collect()]  # at most K values
     bloom = spark.sparkContext.broadcast(bloom_of(items))
-    found = texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_find(bloom, sorted(kinds)), FOUND)
-    flat = found.select("doc_id", "row", "n_words", F.explode_outer("hits").alias("h")).select("doc_id", "row", "n_words", "h.at", "h.left", "h.kind", "h.words", F.coalesce("h.hash", F.lit(-1) - F.col("row")).alias("key"), F.coalesce("h.kind", F.lit(-1)).alias("key_kind"))
+    found = doc_key(docs, "doc_id").select("doc_id", "k1", "k2", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_find(bloom, sorted(kinds)), FOUND)
+    flat = found.select("doc_id", "k1", "k2", "row", "n_words", F.explode_outer("hits").alias("h")).select("doc_id", "k1", "k2", "row", "n_words", "h.at", "h.left", "h.kind", "h.words", F.coalesce("h.hash", F.lit(-1) - F.col("row")).alias("key"), F.coalesce("h.kind", F.lit(-1)).alias("key_kind"))
     theirs = items.select("item_id", F.col("at").alias("i_at"), F.col("n").alias("i_n"), F.col("words").alias("i_words"), F.col("hash").alias("key"), F.col("kind").alias("key_kind"))
-    met = flat.join(theirs, ["key", "key_kind"], "left").select("doc_id", "row", "n_words", "at", "left", "kind", "words", "item_id", "i_at", "i_n", "i_words")
+    met = flat.join(theirs, ["key", "key_kind"], "left").select("doc_id", "k1", "k2", "row", "n_words", "at", "left", "kind", "words", "item_id", "i_at", "i_n", "i_words")
     return met.mapInArrow(_extend, SPANS)
 
 

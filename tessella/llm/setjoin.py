@@ -270,12 +270,16 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(up, "comp", "left").select("cls", F.coalesce("low", "comp").alias("comp"))
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def members(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, n_shingles, component_id, stays) of every document, by the key of ``doc_key``.
+
+    Of a component the rows of one key stay: of the smallest id, then of the smallest key; rows without an id come
+    last. A document without shingles stays.
+    """
     spark = docs.sparkSession
     described = materialise(doc_key(docs, "doc_id").select("k1", "k2", "doc_id", "text").mapInArrow(_describe, SETS), "sets")
     rows = described.where("block is null")
-    classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min("doc_id").alias("least")), "classes")
+    classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "k1", "k2")).alias("least")), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
     entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
     # a written table meets the entries in a join whose two sides are dealt out anew, which Spark can split at hot tokens
@@ -295,9 +299,16 @@ def group(docs: DataFrame) -> DataFrame:
     labels = materialise(joined_labels(labels, materialise(links(docs, classes, remaining(left, classes)), "links")), "labels")
 
     comp = materialise(classes.select("cls", "least").join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "components")
-    least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = materialise(comp.join(least, "comp").select("cls", "component_id"), "named")
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = comp.groupBy("comp").agg(F.min("least").alias("least"))
+    named = materialise(comp.select("cls", "comp").join(least, "comp").select("cls", F.when(~F.col("least.nameless"), F.col("least.k1")).alias("component_id"), F.col("least.k1").alias("least_1"), F.col("least.k2").alias("least_2")), "named")
+    some = F.col("n") > 0
+    stays = ~some | ((F.col("k1") == F.col("least_1")) & (F.col("k2") == F.col("least_2")))
+    return rows.join(named, "cls", "left").select("k1", "k2", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return members(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:

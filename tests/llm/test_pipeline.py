@@ -63,3 +63,22 @@ def test_run_is_the_last_stage(spark, sf_dir):
     import corpus_pipeline as P
 
     assert P.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and P.ORACLE_SQL is None
+
+
+def test_rows_are_removed_for_their_own_id_and_text(spark, tmp_path):
+    """Ids that occur with several texts, and null ids: one row of each component stays, and contaminated rows go alone."""
+    import corpus_pipeline as P
+
+    say = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, say("a"), "en"), (5, say("a") + " more", "en"), (5, say("b"), "en"), (7, say("c"), "en"), (7, say("d"), "en"), (8, say("e"), "en"), (8, say("e"), "de"), (9, None, "en"), (9, None, "en"), (9, " ", "en")]
+    rows += [(None, say("a"), "en"), (None, say("f"), "en"), (None, say("f"), "en"), (None, say("f") + " more", "en"), (None, "", "en"), (None, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in P.drop_near_duplicates(spark, docs, "").collect()]
+    f = [r for r in got if r[1] and r[1].startswith("f")]
+    assert len(f) == 1 and f[0] in rows
+    want = [(3, say("a"), "en"), (5, say("b"), "en"), (7, say("c"), "en"), (7, say("d"), "en"), (8, say("e"), "de"), (9, None, "en"), (9, " ", "en"), (None, "", "en"), (None, "", "en"), *f]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+    spark.createDataFrame([(1, say("b")), (2, say("f"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [tuple(r) for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, left)) == sorted(str(r) for r in rows if not (r[1] or "").startswith(("b", "f")))
