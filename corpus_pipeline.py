@@ -1,7 +1,7 @@
 """Documents to training sequences: five stages, each working on all that the one before it kept.
 
 toxicity          documents that the classifier rejects go
-near_duplicates   of each component of the n-gram Jaccard join the document with the smallest id stays (rows without one come last)
+near_duplicates   of each component of the Jaccard join (five words, 0.8) the document with the smallest id stays (rows without one come last)
 decontamination   documents that share a window with a benchmark item go
 pii               personal data in the texts is replaced by its kind
 packing           the texts' tokens in sequences of at most 1024
@@ -20,6 +20,7 @@ from tessella.llm import decontaminate, packing, pii, setjoin, toxicity
 from tessella.llm.common import key_columns, materialise
 
 KEY = ["_k1", "_k2"]
+NEAR = setjoin.Law(words=5, num=80, den=100)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def keys_of(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = materialise(setjoin.members(docs), "groups")
+    grouped = materialise(setjoin.members(docs, NEAR), "groups")
     kept = with_key(docs).join(keys_of(grouped.where("not stays")), KEY, "left_anti")
     again = keys_of(grouped.where("stays and (n_shingles > 0 or doc_id is not null)").groupBy("k1", "k2").count().where("count > 1"))
     if again.isEmpty():

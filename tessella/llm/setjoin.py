@@ -1,6 +1,6 @@
 """N-gram Jaccard join with set relations: exact links of distinct shingle sets, and their components.
 
-A document's set is its distinct 4-word shingles. Documents of equal sets form a class and are joined once. Of each
+A document's set is its distinct shingles of a ``Law``'s number of words, 4 unless another is given. Documents of equal sets form a class and are joined once. Of each
 set, in a global order from rare to frequent, the prefix that any partner must meet is indexed. The order rests on a
 sketch of all shingles' counts, of fixed size: a poor estimate costs time, never a link.
 
@@ -18,7 +18,7 @@ Pairs pass a parity bitmap (its Hamming distance bounds the symmetric difference
 and compared. Components are found by minimum labels and pointer jumping over written tables.
 
 Null text, or text without words, has an empty set: n_shingles 0 and a component of its own. Fewer than four words are
-one shingle. Rows that repeat an id are documents each; a null id gives a class no name, and a component of such rows
+one shingle (fewer than the law's words, with another). Rows that repeat an id are documents each; a null id gives a class no name, and a component of such rows
 only has a null one. An empty table gives an empty result.
 """
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,22 +37,40 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, batch, bloom_of, discard, doc_key, in_bloom, materialise, mix, signed, span_hash, texts, words_of
 
-N, NUM, DEN = 4, 85, 100
 ROUNDS, HEADS = 2, 4
 SKETCH = 1 << 20  # counters
 BLOCK = 1 << 16
 
 
-def at_least(total: int | np.ndarray) -> int | np.ndarray:
-    """The smallest intersection of sets of ``total`` members together that links them."""
-    return (NUM * total + NUM + DEN - 1) // (NUM + DEN)
+@dataclass(frozen=True)
+class Law:
+    """Sets of distinct shingles of ``words`` words are linked from a Jaccard similarity of ``num / den``."""
 
+    words: int = 4
+    num: int = 85
+    den: int = 100
 
-def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def at_least(self, total: int | np.ndarray) -> int | np.ndarray:
+        """The smallest intersection of sets of ``total`` members together that links them."""
+        return (self.num * total + self.num + self.den - 1) // (self.num + self.den)
+
+    def prefix(self, size: np.ndarray) -> np.ndarray:
+        """How many of a set's members, from rare to frequent, any partner must meet."""
+        return size - (self.num * size + self.den - 1) // self.den + 1
+
+    def size_block(self, n: Column) -> Column:
+        """Partners' sizes differ by at most a factor den / num, so their blocks by at most one."""
+        return F.floor(F.log(n.cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
+
+    def can_link(self, n: Column, m: Column) -> Column:
+        return (F.least(n, m).cast("long") * self.den) >= (F.greatest(n, m).cast("long") * self.num)
+
+
+def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each row's distinct shingles, by row and hash."""
-    at, h = w.grams(N)
+    at, h = w.grams(n)
     row = w.row[at] if len(at) else np.zeros(0, np.int64)
-    short = np.flatnonzero((w.count > 0) & (w.count < N))
+    short = np.flatnonzero((w.count > 0) & (w.count < n))
     row = np.concatenate([row, short])
     h = np.concatenate([h, span_hash(w.hash, w.first[short], w.first[short + 1])])
     order = np.lexsort((h, row))
@@ -100,20 +119,23 @@ def _classes(first: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(np.diff(first) > 0, signed(mix(total[first[1:]] - total[first[:-1]])), 0)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, np.int64)
-    for b in batches:
-        for lo, hi, w in words_of(b.column(3), SPACED, lower=True):
-            row, h = shingles(w)
-            counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-            first = np.searchsorted(row, np.arange(hi - lo + 1))
-            n = np.diff(first)
-            none = [None] * (hi - lo)
-            yield batch(_SETS, doc_id=b.column(2).slice(lo, hi - lo), k1=b.column(0).slice(lo, hi - lo), k2=b.column(1).slice(lo, hi - lo), n=n, cls=_classes(first, h), bits=[bitmap(h[first[r] : first[r + 1]]) if n[r] else None for r in range(hi - lo)], quick=quick(row, h, hi - lo), block=none, counts=none)
-    for i in range(SKETCH // BLOCK):
-        part = counts[i * BLOCK : (i + 1) * BLOCK]
-        if part.any():
-            yield batch(_SETS, doc_id=[None], k1=[None], k2=[None], n=[None], cls=[None], bits=[None], quick=[None], block=[i], counts=[zlib.compress(part.astype("<i8").tobytes(), 1)])
+def _describe(law: Law):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for lo, hi, w in words_of(b.column(3), SPACED, lower=True):
+                row, h = shingles(w, law.words)
+                counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                n = np.diff(first)
+                none = [None] * (hi - lo)
+                yield batch(_SETS, doc_id=b.column(2).slice(lo, hi - lo), k1=b.column(0).slice(lo, hi - lo), k2=b.column(1).slice(lo, hi - lo), n=n, cls=_classes(first, h), bits=[bitmap(h[first[r] : first[r + 1]]) if n[r] else None for r in range(hi - lo)], quick=quick(row, h, hi - lo), block=none, counts=none)
+        for i in range(SKETCH // BLOCK):
+            part = counts[i * BLOCK : (i + 1) * BLOCK]
+            if part.any():
+                yield batch(_SETS, doc_id=[None], k1=[None], k2=[None], n=[None], cls=[None], bits=[None], quick=[None], block=[i], counts=[zlib.compress(part.astype("<i8").tobytes(), 1)])
+
+    return run
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,68 +158,74 @@ ENTRIES = "token long, cls long, n int, pos int"
 _ENTRIES = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
-def _index(levels):
+def _index(levels, law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in words_of(b.column(0), SPACED, lower=True):
-                row, h = shingles(w)
+                row, h = shingles(w, law.words)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
                 cls, n = _classes(first, h), np.diff(first)
                 order = np.lexsort((h, levels.value[(h >> np.uint64(44)).astype(np.int64)], row))
                 row, h = row[order], h[order]
                 pos = np.arange(len(h)) - first[row]
                 size = n[row]
-                keep = pos < size - (NUM * size + DEN - 1) // DEN + 1
+                keep = pos < law.prefix(size)
                 yield batch(_ENTRIES, token=signed(h[keep]), cls=cls[row[keep]], n=size[keep], pos=pos[keep])
 
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bitmaps allow a link."""
-    for b in batches:
-        na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-        most = (na + nb - 2 * at_least(na + nb)).tolist()
-        ok = [apart(x, y) <= d for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
-        yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+def _near(law: Law):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose bitmaps allow a link."""
+        for b in batches:
+            na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
+            most = (na + nb - 2 * law.at_least(na + nb)).tolist()
+            ok = [apart(x, y) <= d for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
+            yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 MEMBERS = "k1 long, k2 long, members binary"
 _MEMBERS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("members", pa.binary())])
 
 
-def _fetch(bloom):
+def _fetch(bloom, law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(in_bloom(bloom.value, b.column(1).to_numpy())))
             for lo, hi, w in words_of(b.column(2), SPACED, lower=True) if b.num_rows else ():
-                row, h = shingles(w)
+                row, h = shingles(w, law.words)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield batch(_MEMBERS, k1=b.column(0).slice(lo, hi - lo), k2=b.column(1).slice(lo, hi - lo), members=[h[first[r] : first[r + 1]].tobytes() for r in range(hi - lo)])
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(q, p)
-            common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            ok.append(common >= at_least(len(p) + len(q)))
-        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _compare(law: Law):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.searchsorted(q, p)
+                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                ok.append(common >= law.at_least(len(p) + len(q)))
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    return run
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, law: Law) -> DataFrame:
     """The (a, b) of ``pairs`` (a, b, na, nb), classes, whose sets are linked."""
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("bits").alias(f"{x}_bits"))
-    near = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(_near, "a long, b long, na int, nb int"), "near")
+    near = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(_near(law), "a long, b long, na int, nb int"), "near")
     need = materialise(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "src.k1", "src.k2"), "cls"), "need")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(need.select("k2")))
-    members = materialise(doc_key(docs).mapInArrow(_fetch(bloom), MEMBERS).join(need, ["k1", "k2"]).groupBy("cls").agg(F.first("members").alias("members")), "members")
+    members = materialise(doc_key(docs).mapInArrow(_fetch(bloom, law), MEMBERS).join(need, ["k1", "k2"]).groupBy("cls").agg(F.first("members").alias("members")), "members")
     got = lambda x: members.select(F.col("cls").alias(x), F.col("members").alias(f"{x}_members"))
-    return near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "a_members", "b_members").mapInArrow(_compare, "a long, b long")
+    return near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "a_members", "b_members").mapInArrow(_compare(law), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,35 +245,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def size_block(n: Column) -> Column:
-    """Partners' sizes differ by less than a factor DEN / NUM, so their blocks by at most one."""
-    return F.floor(F.log(n.cast("double")) / math.log(DEN / NUM) + 1e-9).cast("int")
-
-
-def can_link(n: Column, m: Column) -> Column:
-    return (F.least(n, m).cast("long") * DEN) >= (F.greatest(n, m).cast("long") * NUM)
-
-
-def undecided(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def undecided(entries: DataFrame, labels: DataFrame, law: Law) -> DataFrame:
     """(token, block, cls, n, pos, comp) of the lists that still hold sets of several components."""
-    known = entries.join(labels, "cls").select("token", size_block(F.col("n")).alias("block"), "cls", "n", "pos", "comp")
+    known = entries.join(labels, "cls").select("token", law.size_block(F.col("n")).alias("block"), "cls", "n", "pos", "comp")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     return known.join(mixed, "token")
 
 
-def candidates(entries: DataFrame, turn: int) -> DataFrame:
+def candidates(entries: DataFrame, turn: int, law: Law) -> DataFrame:
     """(a, b, na, nb): for each set up to HEADS heads, of other components, of most of its lists. First the smallest set
     of a list is its head; in later turns the lists of a set have several heads, by hash."""
     c = F.col
     order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("cls", F.pmod("token", F.lit(8)), F.lit(turn))
     heads = entries.groupBy("token", "block").agg(F.min(F.struct(order.alias("o"), c("cls").alias("cls"), c("n").alias("n"), c("comp").alias("comp"))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "block", "head")
-    votes = entries.join(heads, ["token", "block"]).where((c("comp") != c("head.comp")) & can_link(c("n"), c("head.n")))
+    votes = entries.join(heads, ["token", "block"]).where((c("comp") != c("head.comp")) & law.can_link(c("n"), c("head.n")))
     votes = votes.groupBy(c("cls").alias("b"), c("n").alias("nb"), c("head.cls").alias("a"), c("head.n").alias("na")).count()
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
     return votes.withColumn("i", rank).where(F.col("i") <= HEADS).select("a", "b", "na", "nb")
 
 
-def remaining(entries: DataFrame, classes: DataFrame) -> DataFrame:
+def remaining(entries: DataFrame, classes: DataFrame, law: Law) -> DataFrame:
     """(a, b, na, nb): all pairs of one list in different components that sizes, positions and a short bitmap allow,
     block by block."""
     c = F.col
@@ -254,10 +273,10 @@ def remaining(entries: DataFrame, classes: DataFrame) -> DataFrame:
     y = entries.select("token", F.explode(F.array(c("block"), c("block") - 1)).alias("block"), *(c(k).alias(f"y_{k}") for k in ("cls", "n", "pos", "comp", "q0", "q1", "q2", "q3")))
     common = F.least("x_pos", "y_pos") + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos"))
     met = x.join(y, ["token", "block"]).where((c("x_comp") != c("y_comp")) & ((c("x_n") < c("y_n")) | ((c("x_n") == c("y_n")) & (c("x_cls") < c("y_cls")))))
-    met = met.where(can_link(c("x_n"), c("y_n")) & (common.cast("long") * (NUM + DEN) >= (c("x_n") + c("y_n")).cast("long") * NUM))
+    met = met.where(law.can_link(c("x_n"), c("y_n")) & (common.cast("long") * (law.num + law.den) >= (c("x_n") + c("y_n")).cast("long") * law.num))
     differ = sum((F.bit_count(c(f"x_q{i}").bitwiseXOR(c(f"y_q{i}"))) for i in range(1, 4)), start=F.bit_count(c("x_q0").bitwiseXOR(c("y_q0"))))
     total = (c("x_n") + c("y_n")).cast("long")
-    need = F.floor((total * NUM + NUM + DEN - 1) / (NUM + DEN))
+    need = F.floor((total * law.num + law.num + law.den - 1) / (law.num + law.den))
     met = met.where(differ <= total - 2 * need)
     return met.select(c("x_cls").alias("a"), c("y_cls").alias("b"), c("x_n").alias("na"), c("y_n").alias("nb")).distinct()
 
@@ -270,18 +289,18 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(up, "comp", "left").select("cls", F.coalesce("low", "comp").alias("comp"))
 
 
-def members(docs: DataFrame) -> DataFrame:
+def members(docs: DataFrame, law: Law = Law()) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id, stays) of every document, by the key of ``doc_key``.
 
     Of a component the rows of one key stay: of the smallest id, then of the smallest key; rows without an id come
     last. A document without shingles stays.
     """
     spark = docs.sparkSession
-    described = materialise(doc_key(docs, "doc_id").select("k1", "k2", "doc_id", "text").mapInArrow(_describe, SETS), "sets")
+    described = materialise(doc_key(docs, "doc_id").select("k1", "k2", "doc_id", "text").mapInArrow(_describe(law), SETS), "sets")
     rows = described.where("block is null")
     classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "k1", "k2")).alias("least")), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(described))
-    entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels), ENTRIES), "entries")
+    entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels, law), ENTRIES), "entries")
     # a written table meets the entries in a join whose two sides are dealt out anew, which Spark can split at hot tokens
     lists = materialise(entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token"), "lists")
     shared = materialise(entries.join(lists, "token").distinct(), "shared")
@@ -290,13 +309,13 @@ def members(docs: DataFrame) -> DataFrame:
     labels = materialise(shared.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     left = shared
     for turn in range(ROUNDS):
-        left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels), "undecided")
-        new = materialise(links(docs, classes, candidates(left, turn)), "links")
+        left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels, law), "undecided")
+        new = materialise(links(docs, classes, candidates(left, turn, law), law), "links")
         if new.isEmpty():
             break
         labels = materialise(joined_labels(labels, new), "labels")
-    left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels), "undecided")
-    labels = materialise(joined_labels(labels, materialise(links(docs, classes, remaining(left, classes)), "links")), "labels")
+    left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels, law), "undecided")
+    labels = materialise(joined_labels(labels, materialise(links(docs, classes, remaining(left, classes, law), law), "links")), "labels")
 
     comp = materialise(classes.select("cls", "least").join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "components")
     least = comp.groupBy("comp").agg(F.min("least").alias("least"))
@@ -306,9 +325,9 @@ def members(docs: DataFrame) -> DataFrame:
     return rows.join(named, "cls", "left").select("k1", "k2", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
 
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, law: Law = Law()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    return members(docs).select("doc_id", "n_shingles", "component_id")
+    return members(docs, law).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:

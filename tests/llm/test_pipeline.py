@@ -82,3 +82,22 @@ def test_rows_are_removed_for_their_own_id_and_text(spark, tmp_path):
     spark.createDataFrame([(1, say("b")), (2, say("f"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = [tuple(r) for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()]
     assert sorted(map(str, left)) == sorted(str(r) for r in rows if not (r[1] or "").startswith(("b", "f")))
+
+
+def test_near_duplicates_share_five_words_and_four_fifths(spark):
+    """Against brute force, with pairs on both sides of 0.8; 22 scattered words of 1000 are 0.801."""
+    import corpus_pipeline as P
+
+    rows = []
+    for g, (n, changed) in enumerate([(1000, 22), (1000, 23), (100, 2), (100, 3), (40, 1), (4, 0), (3, 1)]):
+        base = [f"g{g}w{i}" for i in range(n)]
+        other = list(base)
+        for i in range(changed):
+            other[(2 * i + 1) * n // (2 * changed)] += "x"
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(other))]
+    cut = lambda t: (w := t.split(" "), {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))})[1]
+    sets = {i: cut(t) for i, t in rows}
+    gone = {i + 1 for i in sets if i % 10 == 0 and 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    assert 1 in gone and 11 not in gone and len(gone) < 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in P.drop_near_duplicates(spark, docs, "").collect()} == set(sets) - gone
