@@ -10,7 +10,8 @@ are its fingerprint, and documents give the plain L-gram hashes at each length L
 K on, every K-gram of the items of that kind.
 
 A Bloom filter of the benchmark's fingerprints, of fixed size, goes to the tasks and drops what cannot meet; it never
-drops a true hit. Null text has no words; repeated rows are each answered; without benchmark rows nothing is hit.
+drops a true hit. Items with a null id hit as others do and count as one item together, but are not in the list of ids.
+Null text has no words; repeated rows are each answered; without benchmark rows nothing is hit.
 """
 
 from __future__ import annotations
@@ -129,11 +130,11 @@ def extend(mine: list[str], left: int, theirs: list[str], at: int, kind: int, n:
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        doc, k1, k2, row, n_words, at, left, kind, words, item, i_at, i_n, i_words = (c.to_pylist() for c in b.columns)
+        doc, k1, k2, row, n_words, at, left, kind, words, met, item, i_at, i_n, i_words = (c.to_pylist() for c in b.columns)
         rows = {f.name: [] for f in _SPANS}
         for r in range(b.num_rows):
             lo = hi = None
-            if item[r] is not None:
+            if met[r]:
                 got = extend(words[r].split(" "), left[r], i_words[r].split(" "), min(N - K, i_at[r]) if not kind[r] else 0, kind[r], i_n[r])
                 lo, hi = (at[r] + got[0], at[r] + got[1]) if got else (None, None)
             for k, v in zip(rows, (doc[r], k1[r], k2[r], row[r], n_words[r], item[r] if lo is not None else None, lo, hi), strict=True):
@@ -144,16 +145,16 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, row, n_words, item_id, lo, hi): words lo..hi of the document are words of the item. One pass over the texts.
 
-    Every document has at least one row, with null item and words where nothing is shared.
+    Every document has at least one row, with null words where nothing is shared; an item may have a null id.
     """
     spark = docs.sparkSession
-    items = materialise(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(_items, ITEMS), "fingerprints")
+    items = materialise(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_items, ITEMS), "fingerprints")
     kinds = [r[0] for r in items.where("kind > 0").select("kind").distinct().collect()]  # at most K values
     bloom = spark.sparkContext.broadcast(bloom_of(items))
     found = doc_key(docs, "doc_id").select("doc_id", "k1", "k2", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_find(bloom, sorted(kinds)), FOUND)
     flat = found.select("doc_id", "k1", "k2", "row", "n_words", F.explode_outer("hits").alias("h")).select("doc_id", "k1", "k2", "row", "n_words", "h.at", "h.left", "h.kind", "h.words", F.coalesce("h.hash", F.lit(-1) - F.col("row")).alias("key"), F.coalesce("h.kind", F.lit(-1)).alias("key_kind"))
-    theirs = items.select("item_id", F.col("at").alias("i_at"), F.col("n").alias("i_n"), F.col("words").alias("i_words"), F.col("hash").alias("key"), F.col("kind").alias("key_kind"))
-    met = flat.join(theirs, ["key", "key_kind"], "left").select("doc_id", "k1", "k2", "row", "n_words", "at", "left", "kind", "words", "item_id", "i_at", "i_n", "i_words")
+    theirs = items.select(F.lit(True).alias("met"), "item_id", F.col("at").alias("i_at"), F.col("n").alias("i_n"), F.col("words").alias("i_words"), F.col("hash").alias("key"), F.col("kind").alias("key_kind"))
+    met = flat.join(theirs, ["key", "key_kind"], "left").select("doc_id", "k1", "k2", "row", "n_words", "at", "left", "kind", "words", "met", "item_id", "i_at", "i_n", "i_words")
     return met.mapInArrow(_extend, SPANS)
 
 
@@ -176,10 +177,11 @@ def bloom_of(items: DataFrame) -> bytes:
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document with what of it the benchmark holds."""
     found = spans(docs, benchmark)
+    nameless = F.max(F.col("lo").isNotNull() & F.col("item_id").isNull())
     # distinct spans and items of a document: its own words and the benchmark bound both
-    per = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    per = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), nameless.cast("int").alias("nameless"))
     state = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(x["hi"] - F.greatest(x["lo"], s["end"]), F.lit(0))).cast("long").alias("n"), F.greatest(x["hi"], s["end"]).alias("end")), lambda s: s["n"])
-    return per.select("doc_id", "n_words", state.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+    return per.select("doc_id", "n_words", state.alias("n_hit"), (F.size("items") + F.col("nameless")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def op2_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,15 @@ def test_winnowing_guarantee():
 
 # op3
 
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    say = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, f"so {say('a', 12)} on"), (2, f"{say('a', 12)} {say('b', 15)}"), (3, "only two"), (4, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, say("a", 12)), (7, say("b", 15)), (None, "only two")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(docs, bench).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (12, 1, sha(""), True), 2: (27, 2, sha("7"), True), 3: (2, 1, sha(""), True), 4: (0, 0, sha(""), False)}
+
+
 
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
