@@ -9,7 +9,8 @@ Scores of the survivors are inner products of the original vectors in double pre
 Lists are k-means cells, fitted on at most SAMPLE rows (those of the smallest hashed ids); the same rows say how many
 lists must be probed for a recall of TARGET, so that data without clusters is probed widely. Every row is indexed.
 Equal vectors are searched once: of each only the K + 1 smallest ids can appear in an answer, which leaves hot vectors
-no weight; they are found by counts and cut in three salted steps. Neighbouring lists are scanned together, in bins of
+no weight; they are found by counts and cut in three salted steps. Answers are cut at K + 1 distinct ids, of which each has at
+most K rows, so that K stay whatever id a query has. Neighbouring lists are scanned together, in bins of
 BIN rows; a long list has several bins, and a bin that many queries ask for is sent to several tasks.
 
 Null, zero or non-finite vectors and rows with a null id take no part, nor do vectors of another length than the most
@@ -96,11 +97,30 @@ class Lazy:
         return self.block[self.at[live]]
 
 
-def scan(query: np.ndarray, turned: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, vectors: np.ndarray, best: tuple[np.ndarray, np.ndarray], base: float) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the K + 1 best of ``best`` and of some rows: their rotated column blocks, ids and original
+def cut(scores: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of rows, best first, those before and at the first of the (K + 1)-th distinct id, at most K of an id; and whether
+    there are that many ids. Whichever id is then left out, the K best of the others are among them."""
+    order = np.lexsort((found, -scores))
+    scores, found = scores[order], found[order]
+    ids, first = np.unique(found, return_index=True)
+    full = len(ids) > K
+    if full:
+        end = int(np.sort(first)[K]) + 1
+        scores, found = scores[:end], found[:end]
+    if len(found) > len(ids[:K + 1]):
+        by = np.argsort(found, kind="stable")
+        run = found[by]
+        place = np.arange(len(run)) - np.searchsorted(run, run)
+        keep = np.sort(by[place < K])
+        scores, found = scores[keep], found[keep]
+    return scores, found, full
+
+
+def scan(query: np.ndarray, turned: np.ndarray, blocks: list[np.ndarray], ids: np.ndarray, vectors: np.ndarray, best: tuple[np.ndarray, np.ndarray, bool], base: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """``cut`` of ``best`` and of some rows: their rotated column blocks, ids and original
     vectors. ``turned`` is the rotated query; a squared distance is ``base`` less twice a score."""
-    scores, found = best
-    limit = max(base - 2 * float(scores[-1]), 0.0) if len(scores) > K else np.inf
+    scores, found, full = best
+    limit = max(base - 2 * float(scores[-1]), 0.0) if full else np.inf
     d, live, partial, at = len(turned), None, 0.0, 0
     for block in blocks:
         stop = at + block.shape[1]
@@ -111,9 +131,7 @@ def scan(query: np.ndarray, turned: np.ndarray, blocks: list[np.ndarray], ids: n
         if not len(live):
             return best
     score = (vectors[live] * query).sum(1)
-    scores, found = np.concatenate([scores, score]), np.concatenate([found, ids[live]])
-    order = np.lexsort((found, -scores))[: K + 1]
-    return scores[order], found[order]
+    return cut(np.concatenate([scores, score]), np.concatenate([found, ids[live]]))
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -128,14 +146,16 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def few_copies(rows: DataFrame) -> DataFrame:
-    """Of equal vectors those with the K + 1 smallest ids. Rare vectors pass; hot ones are cut salt by salt."""
+    """Of equal vectors those with the K + 1 smallest ids, at most K rows of an id. Rare vectors pass; hot ones are cut
+    salt by salt, one row an id."""
     hot = rows.groupBy("a", "b").count().where(F.col("count") > HOT).select("a", "b", F.lit(True).alias("hot"))
     marked = rows.join(hot, ["a", "b"], "left")
-    cut = marked.where("hot")
+    cut = marked.where("hot").groupBy("a", "b", "vec_id").agg(F.first("embedding").alias("embedding"), F.count("*").alias("times"))
     for salts in (64, 8, 1):
         w = Window.partitionBy("a", "b", "salt").orderBy("vec_id")
         cut = cut.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= K + 1).drop("n", "salt")
-    return marked.where("hot is null").unionByName(cut).drop("hot")
+    cut = cut.withColumn("_", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(K)).cast("int")))).drop("_", "times")
+    return marked.where("hot is null").drop("hot").unionByName(cut)
 
 
 def fit(rows: DataFrame) -> Index | None:
@@ -225,7 +245,7 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
             edges = [0, *(x for x in BLOCKS if x < whole.shape[1]), whole.shape[1]]
             blocks = [np.ascontiguousarray(whole[:, x:y]) for x, y in zip(edges, edges[1:], strict=False)]
             for i, (a, b, wanted) in enumerate(zip(right["a"], right["b"], right["lists"], strict=True)):
-                best = (np.zeros(0), np.zeros(0, np.int64))
+                best = (np.zeros(0), np.zeros(0, np.int64), False)
                 base = float((q[i] * q[i]).sum()) + sent.value.norm**2
                 spans = [place[k] for k in wanted if k in place]
                 if not spans:
@@ -244,8 +264,11 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
         return pd.DataFrame(out).astype({"a": "int64", "b": "int32", "vec_id": "int64", "score": "float64"})
 
     found = binned.groupBy("bin", "part").cogroup(sorted_probes.groupBy("bin", "part")).applyInPandas(meet, "a long, b int, vec_id long, score double")
-    best = Window.partitionBy("a", "b").orderBy(F.desc("score"), "vec_id")
-    answers = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= K + 1).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+    # the bins' rows are few for a query: they are cut by distinct ids once more where they meet
+    best, own = Window.partitionBy("a", "b"), Window.partitionBy("a", "b", "vec_id")
+    ranked = found.withColumn("n", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).withColumn("again", F.row_number().over(own.orderBy("n")))
+    ranked = ranked.where(F.col("again") <= K).withColumn("ids", F.sum((F.col("again") == 1).cast("int")).over(best.orderBy("n")))
+    answers = ranked.where(F.col("ids") <= K + 1).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     mine = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "a", "b").distinct()
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, K)
     return mine.join(answers, ["a", "b"]).select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -324,6 +324,23 @@ def brute_substrings(rows, span=35):
     seen = Counter(tuple(w[a : a + span]) for w in words for a in range(len(w) - span + 1))
     out = []
     for w in words:
+@pytest.mark.parametrize("times", [2, 30, 100])
+def test_a_repeated_id_leaves_all_neighbours(spark, times):
+    """A query's own rows take no place of others, be they equal or only near; rows of others that repeat an id count each."""
+    x = vectors()
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))]
+    near = [(40, [float(v) for v in x[40] * np.float32(1 + 0.001 * j)], 0) for j in range(1, times)]
+    rows += [rows[20]] * (times - 1) + near + [(20_001 + 2 * j, rows[20][1], 0) for j in range(3)] + [rows[7]] * 2
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    q = x[20].astype(np.float64)
+    others = sorted((-float((np.array(v, np.float32).astype(np.float64) * q).sum()), i) for i, v, _ in rows if i != 20)[:20]
+    assert sorted(r for r, _, _ in got[20]) == list(range(1, 21)) and 20 not in {v for _, v, _ in got[20]}
+    assert sum((Counter(v for _, v, _ in got[20]) & Counter(i for _, i in others)).values()) >= 18
+    assert Counter(r for r, _, _ in got[40]) == dict.fromkeys(range(1, 21), times) and 40 not in {v for _, v, _ in got[40]}
+
+
         gone = [False] * len(w)
         for a in range(len(w) - span + 1):
             if seen[tuple(w[a : a + span])] > 1:
