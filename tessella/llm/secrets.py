@@ -3,7 +3,9 @@
 A candidate is a run of the characters of one class. A window slides over it; the counts of its characters, and the
 sum of c*log2(c) from which Shannon's entropy follows, are kept by adding the character that enters and taking out
 the one that leaves. Windows at or over the class's threshold are merged into spans. Allow-listed candidates (paths,
-URLs, uuid forms, all of one case and no digit, ascending runs, examples) yield no entropy span; pattern spans are never suppressed.
+URLs, uuid forms, all of one case and no digit) yield no entropy span. Examples and ascending runs clear the segment
+between marks that holds them, or, in a segment of more than LONGEST characters, the windows that hold them; the rest of
+the candidate is scanned. Base64 spans are taken outside of hex spans. Pattern spans are never suppressed.
 
 Null text is empty. Each input row gives one row, repeated rows too; other columns are not read. An empty table gives
 an empty result. Spans are code points, end exclusive.
@@ -56,8 +58,10 @@ ALLOW = (
     re.compile(r"(?:[A-Za-z]+[/_-])+[A-Za-z]*"),  # a path or compound of words
     re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"),  # a uuid
     re.compile(r"[0-9/_+-]+"),  # digits and marks: dates, numbers, paths
-    re.compile(r"(?i).*(?:example|sample|0123456789|abcdefgh|xxxxxx).*"),
 )
+EXAMPLE = re.compile(r"example|sample|0123456789|abcdefgh|xxxxxx", re.I)
+SEGMENT = re.compile(r"[^/_+-]+")
+LONGEST = 64  # characters of a segment that one example pattern clears as a whole
 
 
 def base_spans(text: str, kinds=("assign", "access", "hex")) -> list[tuple[int, int, str]]:
@@ -95,15 +99,53 @@ def entropy_windows(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def scanned(s: str) -> list[tuple[int, int]]:
+    """The parts of a candidate whose windows count: all of it, but for examples."""
+    if not EXAMPLE.search(s):
+        return [(0, len(s))]
+    out, lo = [], 0
+    for seg in SEGMENT.finditer(s):
+        marks = list(EXAMPLE.finditer(s, seg.start(), seg.end()))
+        if marks and len(seg[0]) <= LONGEST:
+            out.append((lo, seg.start()))
+            lo = seg.end()
+        else:
+            for m in marks:  # parts overlap, so that all windows but those that hold the mark are in one
+                out.append((lo, m.end() - 1))
+                lo = m.start() + 1
+    return [*out, (lo, len(s))]
+
+
+def outside(lo: int, hi: int, holes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, b in holes:
+        if a < hi and lo < b:
+            out.append((lo, a))
+            lo = b
+    return [*out, (lo, hi)]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
+    hexes: list[tuple[int, int]] = []
     for cls in CLASSES:
         for m in cls.chars.finditer(text):
             if any(p.fullmatch(m[0]) for p in ALLOW):
                 continue
-            out += [(m.start() + a, m.start() + b, cls.kind) for a, b in entropy_windows(m[0], cls.window, cls.bits)]
-    hexes = {(a, b) for a, b, k in out if k == "entropy_hex"}
-    return [x for x in out if x[2] == "entropy_hex" or not any(a < x[1] and x[0] < b for a, b in hexes)]
+            within = [h for h in hexes if m.start() <= h[0] < m.end()] if hexes else []
+            found: list[list[int]] = []
+            for a, b in scanned(m[0]):
+                if (a, b) != (0, len(m[0])) and any(p.fullmatch(m[0][a:b].strip("/_+-")) for p in ALLOW):
+                    continue
+                for x, y in outside(m.start() + a, m.start() + b, within):
+                    for c, d in entropy_windows(text[x:y], cls.window, cls.bits):
+                        if found and x + c <= found[-1][1]:
+                            found[-1][1] = x + d
+                        else:
+                            found.append([x + c, x + d])
+            out += [(a, b, cls.kind) for a, b in found]
+        hexes = [(a, b) for a, b, _ in out]
+    return out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

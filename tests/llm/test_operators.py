@@ -98,6 +98,21 @@ def test_entropy_is_that_of_each_window_and_words_are_allowed():
     assert secrets.entropy_spans("x K3yqZ8rT1xW9bV4nM7cL2kJ6hG5fD0sA")
 
 
+def test_examples_and_hex_hide_no_key_beside_them():
+    rng = random.Random(3)
+    key = "K3yqZ8rT1xW9bV4nM7cL2kJ6hG5fD0sA"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwyzABCDEFGHIJKLMNOPQRSTUVWYZ0123456789"
+    holds = lambda t, k: any(a <= t.index(k) and t.index(k) + len(k) <= b for a, b, _ in secrets.entropy_spans(t))
+    assert holds(f"srv/sample/{key}", key) and holds(f"example_{key * 9}", key * 9)
+    long = draw(letters, 400)
+    assert holds(f"{long}xxxxxx{key}", key) and holds(f"{long}xxxxxx{key}", long)
+    assert not secrets.entropy_spans("srv/sample/K3yqZ8rT1 sk-exampleKey4eC39HqLyjWDarjt ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/ sample1/usr/share/some/words-of/a-longer/path")
+    for _ in range(200):
+        h, k = draw("0123456789abcdef", 32), draw(letters, 40)
+        assert [x for x in secrets.entropy_spans(f"{h}_{k}") if x[2] == "entropy_base64" and x[1] > 50] and not any(a < 32 for a, _, kind in secrets.entropy_spans(f"{h}_{k}") if kind == "entropy_base64" and ("entropy_hex" in {x[2] for x in secrets.entropy_spans(h)}) and a < max(x[1] for x in secrets.entropy_spans(h)))
+
+
 # op2
 
 N = decontaminate.N
