@@ -90,10 +90,15 @@ class Searcher:
     box: tuple[int, int] = (1, 1)
     at_level: Callable[[int], DataFrame] | None = None  # template rows of a level
 
-    def threshold(self, stage: Stage, positions: int) -> float:
-        """"auto" counts all planes, templates and angles, even where a stage restricts them."""
+    def with_threshold(self, ledger: DataFrame, stage: Stage, positions: DataFrame) -> DataFrame:
+        """The ledger with a ``_threshold``. "auto" takes an image's own searchable positions, (image_id, count), and
+        counts all planes, templates and angles, even where a stage restricts them."""
         t = stage.decision.threshold
-        return L.zscore_threshold(positions, self.n_planes * self.n_templates * stage.n_psi) if t == "auto" else float(t)
+        if t != "auto":
+            return ledger.withColumn("_threshold", F.lit(float(t)))
+        tests = self.n_planes * self.n_templates * stage.n_psi
+        of = F.udf(lambda n: L.zscore_threshold(n, tests), "double")
+        return ledger.join(positions.select("image_id", of("count").alias("_threshold")), "image_id", "left")
 
     def maps(self, pixels: DataFrame, stage: Stage) -> DataFrame:
         """(image_id, pixel_id, mip, mean, variance, zscore, best_index, best_psi) of a stage."""
@@ -118,23 +123,23 @@ class Searcher:
         merged = C.merge_stage_maps(moments.withColumn("best_psi", C.reported_psi(F.col("raw_psi"), stage.n_psi)), keys)
         return merged.withColumn("best_index", F.col("plane") * self.n_templates + F.col("best_virtual")).drop("plane", "best_virtual")
 
-    def decide(self, ledger: DataFrame, stage: Stage, index: int, positions: int) -> DataFrame:
-        d, t = stage.decision, self.threshold(stage, positions)
+    def decide(self, ledger: DataFrame, stage: Stage, index: int, positions: DataFrame) -> DataFrame:
+        d, t, columns = stage.decision, F.col("_threshold"), ledger.columns
         now = (F.col("last_stage") == index) & (F.col("label") == L.LABELS["AMBIGUOUS"])
         if d.calibration is not None:
-            px = ledger.where(now).withColumn("plane", F.floor(F.col("best_index") / self.n_templates)).withColumn("n", F.pmod("best_index", F.lit(self.n_templates)))
+            px = self.with_threshold(ledger.where(now), stage, positions).withColumn("plane", F.floor(F.col("best_index") / self.n_templates)).withColumn("n", F.pmod("best_index", F.lit(self.n_templates)))
             scored = T.score(px, self.levels, self.scales, d.calibration, t, self.box)
             ledger = L.set_values(ledger, scored.select("image_id", "pixel_id", F.col("score").cast("double").alias("value")), "score")
             label = L.tested_label(F.col("zscore"), t, F.col("score"), d.calibration.z_alpha, d.accept)
         else:
             label = L.plain_label(F.col("zscore"), t, d.accept, d.reject)
-        out = ledger.withColumn("label", F.when(now, label).otherwise(F.col("label")).cast("tinyint")).select(*ledger.columns)
+        out = self.with_threshold(ledger, stage, positions).withColumn("label", F.when(now, label).otherwise(F.col("label")).cast("tinyint")).select(*columns)
         return L.absorb_near_accepted(out, d.absorb_radius) if d.absorb_radius else out
 
     def session(self, ledger: DataFrame):
         """(stage number, ledger) after each stage, until no pixel is left to search."""
         searchable = ledger.where(F.col("label") != L.LABELS["MASKED"])
-        positions = searchable.count()
+        positions = self.cut(searchable.groupBy("image_id").count(), "positions")
         for i, stage in enumerate(self.stages):
             pixels = ledger.where(F.col("label") == L.LABELS["PENDING"]) if i == 0 else L.next_stage_pixels(ledger)
             if pixels.isEmpty():

@@ -310,3 +310,23 @@ def test_prepared_images(spark):
     assert len(cur) == 2 * 2 * 8 and (cur[["noise", "signal"]] >= 0).all().all()
     lev = G.level_map(out, 3).groupBy("image_id").agg(F.avg("level").alias("m")).collect()
     assert all(abs(r["m"] - 1) < 1e-9 for r in lev)
+
+
+def test_automatic_thresholds_are_those_of_each_image(spark):
+    """An image's labels do not depend on the others of the run, and masked positions do not count."""
+    rows = [("a", i, i, 0, False) for i in range(10)] + [("b", i, i, 0, i >= 10) for i in range(900)] + [("c", i, i, 0, False) for i in range(900)]
+
+    class Flat(S.Searcher):
+        def maps(self, pixels, stage):
+            z = F.lit(2.5)
+            return pixels.select("image_id", "pixel_id", z.alias("mip"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("variance"), z.alias("zscore"), F.lit(0).cast("long").alias("best_index"), F.lit(0).alias("best_psi"))
+
+    def labels(rows):
+        ledger = L.new_ledger(spark.createDataFrame(rows, "image_id string, pixel_id long, row int, col int, masked boolean"))
+        out = Flat(None, [S.Stage(((0, 0, 1, 1),), 2)], 1, 1, None, lambda df, name: df.localCheckpoint()).run(ledger)
+        assert out.columns == ledger.columns
+        return {(r["image_id"], r["label"]) for r in out.where(F.col("label") != L.LABELS["MASKED"]).select("image_id", "label").distinct().collect()}
+
+    assert L.zscore_threshold(20, 1) < 2.5 < L.zscore_threshold(1800, 1)
+    yes, no = L.LABELS["ACCEPTED"], L.LABELS["REJECTED"]
+    assert labels(rows) == {("a", yes), ("b", yes), ("c", no)} and labels(rows[:10]) == {("a", yes)}
