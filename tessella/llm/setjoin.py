@@ -6,11 +6,11 @@ sketch of all shingles' counts, of fixed size: a poor estimate costs time, never
 
 Set relations save work twice.
 
-* Index lists are kept in blocks by size, and entries carry their position: a probe opens the two blocks that can hold
-  partners, and of an entry at position j of y, met at position i of x, no more than min(i, j) + 1 + min(rest) shingles
+* Index lists are kept in blocks by size, not by position, which is tested on the pairs that have met: a probe opens the
+  two blocks that can hold partners, and of an entry at position j of y, met at position i of x, no more than min(i, j) + 1 + min(rest) shingles
   can be common.
-* Answers are derived from a similar set's answers. In each of ROUNDS rounds a set is compared with HEADS others only,
-  the heads of the lists that it shares most of. A verified link gives it the head's component and so its answers; pairs
+* Components are derived from a similar set's; links are not returned. In each of ROUNDS rounds a set is compared with HEADS others only,
+  the heads of the lists that it shares most of. A verified link gives it the head's component; pairs
   within a component are never formed again. What is left then, pairs of one list in different components, is compared
   in full, so that the number of rounds decides on time and not on results.
 
