@@ -152,6 +152,16 @@ class PolarGrid:
                 out[i, j] = w * turn * np.exp(-1j * k * self.twist * ring_t[j])
         return out, -np.arange(have) * self.step
 
+    def radial_continuation(self, ks) -> np.ndarray:
+        """(frequencies, rows, rings): the operator of ``continuation`` for each angular frequency asked for; a negative
+        one has the conjugate of its positive's."""
+        op, _ = self.continuation()
+        ks = np.asarray(ks, int)
+        if len(ks) and np.abs(ks).max() > self.num_angle // 2:
+            raise ValueError(f"the grid has the frequencies 0 to {self.num_angle // 2}")
+        out = np.moveaxis(op[:, :, np.abs(ks)], 2, 0)
+        return np.where((ks < 0)[:, None, None], out.conj(), out)
+
     def pad_radial(self, polar: np.ndarray, outer: int = 10) -> tuple[np.ndarray, int]:
         """(angle, radius) continued inwards through the origin and mirrored outwards; and the rows put in front."""
         op, _ = self.continuation()
@@ -186,6 +196,60 @@ def register_transform(name: str):
 register_transform("polar")(PolarGrid)
 
 
+@register_transform("arrays")
+class ArrayGrid:
+    """A grid that is given by its coordinates: (row, col) of each polar sample and (radius, angle) of each pixel, with
+    the root of each sample's area. It has no formula, so rings are not continued through the origin."""
+
+    kind = "arrays"
+
+    def __init__(self, polar_rows, polar_cols, pixel_radius, pixel_angle, jacobian, center=None):
+        self.polar_at = np.asarray(polar_rows, float), np.asarray(polar_cols, float)
+        self.pixel_at = np.asarray(pixel_radius, float), np.asarray(pixel_angle, float)
+        self.jacobian = np.asarray(jacobian, float)
+        if self.polar_at[0].shape != self.polar_at[1].shape or self.polar_at[0].ndim != 2:
+            raise ValueError("rows and columns of the samples are two arrays (angle, radius) of one shape")
+        if self.pixel_at[0].shape != self.pixel_at[1].shape or self.pixel_at[0].ndim != 2:
+            raise ValueError("radii and angles of the pixels are two arrays (row, col) of one shape")
+        self.num_angle, self.num_radius = self.polar_at[0].shape
+        self.height, self.width = self.pixel_at[0].shape
+        if self.jacobian.shape not in ((self.num_radius,), self.polar_at[0].shape) or not (self.jacobian > 0).all():
+            raise ValueError("the jacobian is positive, one value a ring or a sample")
+        self.center = (self.height // 2, self.width // 2) if center is None else tuple(center)
+
+    @classmethod
+    def from_transform(cls, grid: PolarGrid) -> ArrayGrid:
+        """The coordinates of a grid that has a formula."""
+        a, r = np.indices((grid.num_angle, grid.num_radius)).astype(float)
+        row, col = np.indices((grid.height, grid.width)).astype(float)
+        return cls(*grid.to_image(r, a, ARRAYS), *grid.to_polar(row, col, ARRAYS), np.sqrt(grid.areas()), grid.center)
+
+    def to_dict(self) -> dict:
+        rows, radii = self.polar_at, self.pixel_at
+        return {"polar_rows": rows[0].tolist(), "polar_cols": rows[1].tolist(), "pixel_radius": radii[0].tolist(), "pixel_angle": radii[1].tolist(), "jacobian": self.jacobian.tolist(), "center": list(self.center)}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> ArrayGrid:
+        return cls(**d)
+
+    def areas(self) -> np.ndarray:
+        return self.jacobian**2
+
+    def to_image(self, radius_index, angle_index, ops=ARRAYS):
+        """(row, col) of whole polar indices."""
+        r, a = np.asarray(radius_index).astype(int), np.asarray(angle_index).astype(int) % self.num_angle
+        return self.polar_at[0][a, r], self.polar_at[1][a, r]
+
+    def to_polar(self, row, col, ops=ARRAYS):
+        """(radius index, angle index) of whole pixels."""
+        at = np.asarray(row).astype(int), np.asarray(col).astype(int)
+        return self.pixel_at[0][at], self.pixel_at[1][at]
+
+    def pad_radial(self, polar: np.ndarray, outer: int = 10) -> tuple[np.ndarray, int]:
+        tail = polar[:, -2 : -outer - 2 : -1] if polar.shape[1] > outer + 1 else polar[:, ::-1]
+        return np.concatenate([polar, tail], 1), 0
+
+
 def get_transform(name: str, **params):
     if name not in REGISTRY:
         raise KeyError(f"no transform {name!r}; known: {sorted(REGISTRY)}")

@@ -142,8 +142,9 @@ def weight_block(weights: DataFrame, num_k: int, num_m: int, limit: int = BROADC
     return out
 
 
-def reduce_block(features: np.ndarray, weights: np.ndarray, n_psi: int, chunk: int = 256) -> dict[str, np.ndarray]:
-    """Statistics of (P, K, M) features against (N, K, M) weights; templates are taken ``chunk`` at a time."""
+def reduce_block(features: np.ndarray, weights: np.ndarray, n_psi: int, chunk: int = 256, sums: bool = False) -> dict[str, np.ndarray]:
+    """Statistics of (P, K, M) features against (N, K, M) weights; templates are taken ``chunk`` at a time. With ``sums``
+    the sums s1 and s2 instead of mean, variance and z, for templates that come in several blocks."""
     p, k, _ = features.shape
     s1, s2 = np.zeros(p), np.zeros(p)
     best, arg = np.full(p, -np.inf), np.zeros(p, np.int64)
@@ -162,9 +163,12 @@ def reduce_block(features: np.ndarray, weights: np.ndarray, n_psi: int, chunk: i
         better = value > best
         best[better], arg[better] = value[better], at[better] + lo * n_psi
     n = max(1, len(weights) * n_psi)
+    found = {"mip": best, "best_virtual": arg // n_psi, "best_psi": (n_psi - arg % n_psi) % n_psi}
+    if sums:
+        return found | {"s1": s1, "s2": s2}
     mean = s1 / n
     variance = np.maximum(s2 / n - mean * mean, 0)
-    return {"mip": best, "best_virtual": arg // n_psi, "best_psi": (n_psi - arg % n_psi) % n_psi, "mean": mean, "variance": variance, "zscore": (best - mean) / np.maximum(np.sqrt(variance), 1e-12)}
+    return found | {"mean": mean, "variance": variance, "zscore": (best - mean) / np.maximum(np.sqrt(variance), 1e-12)}
 
 
 MAPS = "p long, mip double, best_virtual long, best_psi int, mean double, variance double, zscore double"

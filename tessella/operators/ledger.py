@@ -147,18 +147,47 @@ def pick_particles(ledger: DataFrame, radius: float) -> DataFrame:
     covered = near(pts, pts, radius).where(stronger).select("image_id", "pixel_id").distinct()
     peaks = cand.join(covered, ["image_id", "pixel_id"], "left_anti")
     accepted = pixels_with(ledger, "ACCEPTED").select("image_id", "pixel_id", "row", "col")
-    # chains of covering can lead a few radii away; beyond that no peak owns the pixel
-    owner = near(accepted, peaks.select("image_id", "pixel_id", "row", "col"), 4 * radius).groupBy("image_id", "pixel_id").agg(F.min(F.struct("dist2", "r_pixel_id")).alias("x"))
-    return peaks.join(owner.select("image_id", F.col("x.r_pixel_id").alias("pixel_id")).distinct(), ["image_id", "pixel_id"], "left_semi")
+    owners = nearest(accepted, peaks.select("image_id", "pixel_id", "row", "col"), radius)
+    return peaks.join(owners.select("image_id", F.col("r_pixel_id").alias("pixel_id")).distinct(), ["image_id", "pixel_id"], "left_semi")
 
 
-def particle_table(maps: DataFrame, picked: DataFrame, box: tuple[int, int], pixel_size: float, n_hypotheses: int) -> DataFrame:
-    """Particle rows: values at the peaks, positions of the box corner and center in pixels and Angstrom, a running index."""
+def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """(image_id, pixel_id, r_pixel_id): the nearest target of the image, of equal ones that with the smallest id.
+
+    Most points have one near by. Tiles widen fourfold for those that have found none within them, until none is left
+    whose image has targets, so any distance is covered.
+    """
+    left = points.join(targets.select("image_id").distinct(), "image_id", "left_semi")
+    spread = targets.agg(F.max("row"), F.max("col")).union(points.agg(F.max("row"), F.max("col"))).collect()
+    most = 1 + 2 * max((v or 0 for r in spread for v in r), default=0)
+    found, reach = None, max(1.0, float(radius))
+    while True:
+        one = near(left, targets, reach).groupBy("image_id", "pixel_id").agg(F.min(F.struct("dist2", "r_pixel_id")).alias("x")).select("image_id", "pixel_id", "x.r_pixel_id")
+        found = one if found is None else found.unionByName(one)
+        if reach >= most:
+            return found
+        left = left.join(one, ["image_id", "pixel_id"], "left_anti")
+        if left.isEmpty():
+            return found
+        reach *= 4
+
+
+def particle_table(maps: DataFrame, picked: DataFrame, box: tuple[int, int], pixel_size: float, n_hypotheses: int, optics: dict | None = None, micrographs: dict | None = None) -> DataFrame:
+    """Particle rows: values at the peaks, positions of the box corner and center in pixels and Angstrom, a running index,
+    and the columns of ``optics``; ``micrographs`` has the defocus of images by id."""
     rows = picked.select("image_id", "pixel_id", "label", "score", F.col("last_stage").alias("stage")).join(maps, ["image_id", "pixel_id"])
     y, x = F.col("row") + box[0] // 2, F.col("col") + box[1] // 2
-    index = F.row_number().over(Window.orderBy("image_id", "pixel_id")) - 1  # of particles, not of pixels
+    # a running index without a single task: particles are numbered in their image, after those of the images before
+    sizes = picked.groupBy("image_id").count()
+    before = sizes.select("image_id", (F.sum("count").over(Window.orderBy("image_id")) - F.col("count")).alias("before"))  # a row an image
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("image_id").orderBy("pixel_id")) - 1).join(before, "image_id")
+    index = F.col("before") + F.col("i")
+    more = [F.lit(v).alias(k) for k, v in (optics or {}).items()]
+    if micrographs:
+        per_image = F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["defocus_u"])))), F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["defocus_v"])))), F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["astigmatism_angle"]))))
+        more += [F.try_element_at(m, F.col("image_id").cast("string")).alias(c) for m, c in zip(per_image, ("defocus_u", "defocus_v", "astigmatism_angle"), strict=True)]
     return rows.select(
         index.cast("long").alias("particle_index"), "image_id", F.col("row").alias("pos_y"), F.col("col").alias("pos_x"), y.alias("pos_y_img"), x.alias("pos_x_img"), (y * pixel_size).alias("pos_y_img_angstrom"), (x * pixel_size).alias("pos_x_img_angstrom"),
         "mip", "scaled_mip", F.col("orientation_psi").alias("psi"), F.col("orientation_theta").alias("theta"), F.col("orientation_phi").alias("phi"), "relative_defocus", F.col("correlation_average").alias("correlation_mean"), "correlation_variance",
-        F.lit(n_hypotheses).cast("long").alias("total_correlations"), "label", "score", "stage",
+        F.lit(n_hypotheses).cast("long").alias("total_correlations"), "label", "score", "stage", *more,
     )

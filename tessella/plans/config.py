@@ -48,6 +48,7 @@ class DecomposeConfig(ProgramConfig):
     pad: float = Field(2.0, ge=1)
     normalize_projections: bool = True
     low_rank: bool = False
+    whitening: str | None = None
 
 
 class SuggestTarget(Model):
@@ -60,27 +61,46 @@ class CalibrateConfig(ProgramConfig):
     output: str
     rectangles: list[tuple[int, int, int, int]] = []
     suggest: list[SuggestTarget] = []
+    noise_tables: list[list[tuple[int, int, int, int]]] = []
+    bins: int = Field(64, ge=2)
 
     @model_validator(mode="after")
     def _some(self):
-        if not self.rectangles and not self.suggest:
-            raise ValueError("give rectangles to tabulate, targets to suggest, or both")
+        if not self.rectangles and not self.suggest and not self.noise_tables:
+            raise ValueError("give rectangles or noise tables to make, or targets to suggest rectangles for")
         return self
 
 
+class CalibrationConfig(Model):
+    alpha: float = Field(0.01, gt=0, lt=1)
+    zeta: float = Field(1.0, gt=0)
+    eps_rho: float = Field(0.0, ge=0)
+    b_factor: float = Field(0.0, ge=0)
+
+
 class DecisionConfig(Model):
     threshold: float | Literal["auto"] = "auto"
     accept: bool = True
     reject: bool = True
     absorb_radius: float | None = None
+    calibration: CalibrationConfig | None = None
+
+
+class MicrographConfig(Model):
+    """The optics of one image; planes are its mean defocus plus the search's offsets."""
+
+    defocus_u: float
+    defocus_v: float
+    astigmatism_angle: float = 0.0
 
 
 class StageConfig(Model):
     rectangles: list[tuple[int, int, int, int]]
     n_psi: int = Field(ge=2)
     planes: list[int] | None = None
-    level: int | None = None
-    rings: int | None = None
+    level: int | None = Field(None, ge=0)
+    rings: int | None = Field(None, ge=0)
+    orientations: list[int] | None = None
     decision: DecisionConfig = DecisionConfig()
 
 
@@ -92,15 +112,33 @@ class SearchConfig(ProgramConfig):
     masks: str | None = None
     pixel_size: float = Field(1.0, gt=0)
     voltage: float = Field(300.0, gt=0)
+    spherical_aberration: float = 2.7
+    amplitude_contrast: float = Field(0.07, ge=0, lt=1)
+    phase_shift: float = 0.0
+    micrographs: dict[str, MicrographConfig] = {}
     invert: bool = False
+    whitening: str | None = None
+    error_tables: str | None = None
+    prepared: str | None = None
+    execution: dict = {}
+    save_stages: bool = True
     stages: list[StageConfig]
 
+    @model_validator(mode="after")
+    def _noise_model(self):
+        if any(s.decision.calibration for s in self.stages) and not (self.whitening and self.error_tables):
+            raise ValueError("a calibrated decision needs whitening and error_tables")
+        if self.stages and self.stages[0].rings is not None:
+            raise ValueError("the first stage has no seeds to be local about")
+        return self
+
 
 class ExportConfig(ProgramConfig):
     result: str
     output: str
     radius: float = Field(gt=0)
     pixel_size: float = Field(1.0, gt=0)
+    optics: dict[str, float | str] = {}
 
 
 PROGRAMS = {"whitening": WhiteningConfig, "decompose": DecomposeConfig, "calibrate": CalibrateConfig, "search": SearchConfig, "export": ExportConfig}

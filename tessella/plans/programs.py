@@ -9,15 +9,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import healpix
+from tessella.functions import healpix, rings
 from tessella.functions.polar import PolarGrid
-from tessella.functions.spline import warp_to_image
+from tessella.operators import bands as B
 from tessella.operators import correlate as C
 from tessella.operators import decompose as D
 from tessella.operators import energies as E
 from tessella.operators import imaging as I
 from tessella.operators import ledger as L
+from tessella.operators import prepared, tables
+from tessella.operators import threshold as T
 from tessella.plans import config as cfg
+from tessella.plans import engine, planning
 from tessella.plans import search as S
 from tessella.sources import mrc, store
 
@@ -38,11 +41,25 @@ def run_whitening(spark: SparkSession, config: cfg.WhiteningConfig) -> DataFrame
     return store.load(spark, config.output, "whitening")["spectra"]
 
 
-def check_image(recorded: DataFrame, now: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(image_id, error): relative distances of spectra; the query fails where one exceeds the tolerance."""
-    j = recorded.join(now.select("image_id", "f", F.col("amplitude").alias("new")), ["image_id", "f"])
-    err = j.groupBy("image_id").agg(F.sqrt(F.sum(F.pow(F.col("amplitude") - F.col("new"), 2)) / F.greatest(F.sum(F.pow("amplitude", F.lit(2))), F.lit(1e-300))).alias("error"))
-    return err.where(F.assert_true(F.col("error") <= tolerance, F.lit("an image differs from the one its spectrum was taken of")).isNull())
+def whitening_filter(spark: SparkSession, path: str | None) -> dict | None:
+    """The average curve and the band of a whitening set, as a decomposition records them; None without one."""
+    if path is None:
+        return None
+    tables, c = store.load(spark, path, "whitening"), store.read_meta(spark, path)["config"]
+    return {"average": prepared.average_curve(tables["spectra"], c["max_freq"]).round(12).tolist(), "cutoff": c["band_cutoff"], "falloff": c["band_falloff"], "max_freq": c["max_freq"]}
+
+
+def check_template_filter(recorded: dict | None, now: dict | None) -> None:
+    """Refuse a decomposition that was made under another filter than the whitening's."""
+    same = (recorded is None) == (now is None)
+    if same and now is not None:
+        same = len(recorded["average"]) == len(now["average"]) and np.allclose(recorded["average"], now["average"], rtol=1e-4, atol=1e-6) and all(recorded[k] == now[k] for k in ("cutoff", "falloff"))
+    if not same:
+        raise ValueError("the decomposition was made under another filter than this whitening's")
+
+
+def box_filter(recorded: dict | None, box: tuple[int, int]) -> np.ndarray | None:
+    return None if recorded is None else prepared.template_filter(np.array(recorded["average"]), *box, recorded["cutoff"], recorded["falloff"])
 
 
 def run_decompose(spark: SparkSession, config: cfg.DecomposeConfig) -> dict[str, DataFrame]:
@@ -50,72 +67,68 @@ def run_decompose(spark: SparkSession, config: cfg.DecomposeConfig) -> dict[str,
     d = volume.shape[0]
     grid = PolarGrid.of_image(config.polar.kind, (d, d), config.polar.num_radius, config.polar.num_angle)
     orient = healpix.orientations(spark, config.nside)
-    spectra = D.polar_spectra(D.projections(orient, volume, config.pad), grid, normalise=config.normalize_projections)
+    recorded = whitening_filter(spark, config.whitening)
+    bank = None if recorded is None else box_filter(recorded, (d, d))[None]
+    spectra = D.polar_spectra(D.projections(orient, volume, config.pad), grid, bank, normalise=config.normalize_projections)
     u, s, vh = D.svd_per_frequency(spectra, config.eig_max, config.k_max, config.low_rank)
-    store.save(spark, config.output, "decomposition", {"u": u, "s": s, "vh": vh, "orientations": orient, "blocks": D.block_energies(spectra, grid.num_angle)}, {"grid": grid.to_dict(), "box": d, "sparse": False, **config.model_dump(mode="json")}, "decompose")
+    meta = {"grid": grid.to_dict(), "box": d, "sparse": False, "filter": recorded, **config.model_dump(mode="json")}
+    store.save(spark, config.output, "decomposition", {"u": u, "s": s, "vh": vh, "orientations": orient, "blocks": D.block_energies(spectra, grid.num_angle)}, meta, "decompose")
     return store.load_decomposition(spark, config.output)
 
 
+def noise_tables(spark: SparkSession, t: dict[str, DataFrame], meta: dict, rectangles: list, bins: int) -> DataFrame:
+    """(tag, n, f, freq, profiles.., template) of each set of rectangles, over all template rows."""
+    grid = PolarGrid.from_dict(meta["grid"])
+    box = (grid.height, grid.width)
+    k_max, eig_max = (r + 1 for r in t["s"].agg(F.max("k"), F.max("m")).first())
+    projected = D.projections(t["orientations"], mrc.read_volume(spark, meta["volume"]), meta["pad"])
+    weights = C.weights_of(t["u"].select("n", "k", "m", "re", "im"), t["s"])
+    own = box_filter(meta["filter"], box)
+    signal = None if own is None else rings.on_grid(np.array(meta["filter"]["average"]), *box)
+    n_orientations = t["orientations"].count()
+    out = None
+    for rects in rectangles:
+        cells = tables.cells_of(rects, k_max, eig_max)
+        kern = engine.cell_kernels(engine.radial_vectors(t["vh"], grid, k_max, eig_max), grid, cells)
+        rows = tables.template_rows(projected, weights, cells, n_orientations)
+        one = tables.profiles(rows, kern, cells, grid, bins, n_orientations, exact_filters=None if own is None else own[None], signal_filter=signal, normalise=meta["normalize_projections"]).withColumn("tag", F.lit(tables.tag_of(rects)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def run_calibrate(spark: SparkSession, config: cfg.CalibrateConfig) -> dict[str, DataFrame]:
-    """Truncation errors of the rectangles, and suggestions for the targets."""
+    """Truncation errors of the rectangles, error tables for the noise model, and suggestions for the targets."""
     t = store.load_decomposition(spark, config.decomposition)
-    num_angle = store.read_meta(spark, config.decomposition)["config"]["grid"]["num_angle"]
-    cells = E.cell_energies(t["u"].select("n", "k", "m", "re", "im"), t["s"], num_angle)
+    meta = store.read_meta(spark, config.decomposition)["config"]
+    cells = E.cell_energies(t["u"].select("n", "k", "m", "re", "im"), t["s"], meta["grid"]["num_angle"])
     out: dict[str, DataFrame] = {}
+    record = config.model_dump(mode="json") | {"tags": []}
     if config.rectangles:
         out["errors"] = E.truncation_error(cells, t["blocks"], config.rectangles)
         out["summary"] = E.truncation_summary(out["errors"])
     for i, target in enumerate(config.suggest):
         out[f"suggestion_{i}"] = E.suggest_rectangles(E.rho_grid(E.energy_spectrum(cells), t["blocks"]), target.max_error, target.max_components)
-    store.save(spark, config.output, "error_tables", out, config.model_dump(mode="json"), "calibrate")
+    if config.noise_tables:
+        bins = len(meta["filter"]["average"]) if meta["filter"] else config.bins
+        out["error_tables"] = noise_tables(spark, t, meta, config.noise_tables, bins)
+        record |= {"tags": [tables.tag_of(r) for r in config.noise_tables], "grid": meta["grid"], "box": meta["box"], "filter": meta["filter"], "bins": bins}
+    store.save(spark, config.output, "error_tables", out, record, "calibrate")
     return store.load(spark, config.output, "error_tables")
 
 
-def kernels(vh: DataFrame, grid: PolarGrid, k_max: int, eig_max: int) -> np.ndarray:
-    """(k, m, h, w): each cell's radial vector with its angular phase, warped to the image. k_max * eig_max boxes."""
-    out = np.zeros((k_max, eig_max, grid.height, grid.width), complex)
-    rows = vh.where((F.col("k") < k_max) & (F.col("m") < eig_max)).toPandas()
-    turn = np.exp(2j * np.pi * np.outer(np.arange(k_max), np.arange(grid.num_angle)) / grid.num_angle) / np.sqrt(grid.num_angle)
-    for (k, m), part in rows.groupby(["k", "m"]):
-        radial = np.zeros(grid.num_radius, complex)
-        radial[part["r"].to_numpy(int)] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
-        out[int(k), int(m)] = warp_to_image(np.outer(turn[int(k)], radial), grid)
-    return out
-
-
-def features(images: DataFrame, kern: np.ndarray, planes: np.ndarray | None, h: int, w: int) -> DataFrame:
-    """(image_id, pixel_id, plane, k, m, re, im) of all positions: images under each plane's filter, then the kernels."""
-    k, m, kh, kw = kern.shape
-    sent = images.sparkSession.sparkContext.broadcast((kern, planes))
-
-    def kernel(image_id, data):
-        kern, planes = sent.value
-        bank = np.ones((1, h, w // 2 + 1)) if planes is None else planes
-        spec = np.fft.rfft2(data)
-        out = {c: [] for c in ("pixel_id", "plane", "k", "m", "re", "im")}
-        where = np.arange((h - kh + 1) * (w - kw + 1))
-        for d, f in enumerate(bank):
-            full = np.fft.fft2(np.fft.irfft2(spec * f, s=(h, w)))
-            for i in range(k):
-                for j in range(m):
-                    # conj of the kernel against the box: a correlation
-                    y = np.fft.ifft2(full * np.conj(np.fft.fft2(kern[i, j], (h, w))))[: h - kh + 1, : w - kw + 1].ravel()
-                    for name, v in (("pixel_id", where), ("plane", np.full(len(y), d, np.int32)), ("k", np.full(len(y), i, np.int32)), ("m", np.full(len(y), j, np.int32)), ("re", y.real), ("im", y.imag)):
-                        out[name].append(v)
-        cols = {c: np.concatenate(v) for c, v in out.items()}
-        return {"image_id": [image_id] * len(cols["re"]), **cols}
-
-    return I.per_image(images, kernel, h, w, "image_id string, pixel_id long, plane int, k int, m int, re double, im double")
-
-
-def ctf_bank(spark: SparkSession, config: cfg.SearchConfig, h: int, w: int) -> np.ndarray | None:
-    if not any(config.defocus):
+def plane_table(images: DataFrame, config: cfg.SearchConfig) -> DataFrame | None:
+    """(image_id, planes): an image's own defocus plus the offsets, or the offsets alone; None where nothing is defocused."""
+    if not config.micrographs and not any(config.defocus):
         return None
-    planes = spark.createDataFrame([(i, float(d), 0.0, 0.0) for i, d in enumerate(config.defocus)], "plane int, defocus double, astigmatism double, angle double")
-    rows = I.ctf(I.rfft_grid(spark, h, w), planes, config.pixel_size, config.voltage).toPandas()
-    out = np.zeros((len(config.defocus), h, w // 2 + 1))
-    out[rows["plane"], rows["ky"], rows["kx"]] = rows["value"]
-    return out
+    plane = lambda m, o: {"defocus": o + ((m.defocus_u + m.defocus_v) / 2 if m else 0.0), "astigmatism": (m.defocus_u - m.defocus_v) / 2 if m else 0.0, "angle": m.astigmatism_angle if m else 0.0}
+    kind = "array<struct<defocus:double,astigmatism:double,angle:double>>"
+    common = F.lit(None).cast(kind) if config.micrographs else F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in plane(None, float(o)).items())) for o in config.defocus))
+    ids = images.select("image_id")
+    if not config.micrographs:
+        return ids.withColumn("planes", common)
+    own = images.sparkSession.createDataFrame([(k, [plane(m, float(o)) for o in config.defocus]) for k, m in config.micrographs.items()], f"image_id string, planes {kind}")
+    known = F.assert_true(F.col("planes").isNotNull(), F.lit("an image has no entry in micrographs"))
+    return ids.join(own, "image_id", "left").where(known.isNull())
 
 
 def positions(images: DataFrame, out_h: int, out_w: int, masks: DataFrame | None, box: tuple[int, int]) -> DataFrame:
@@ -128,8 +141,42 @@ def positions(images: DataFrame, out_h: int, out_w: int, masks: DataFrame | None
     return grid.join(keep, ["image_id", "row", "col"], "left").withColumn("masked", F.col("_keep").isNull()).drop("_keep")
 
 
+def stage_of(s: cfg.StageConfig) -> S.Stage:
+    d = s.decision.model_dump()
+    calibration = d.pop("calibration")
+    some = lambda x: None if x is None else tuple(x)
+    return S.Stage(tuple(s.rectangles), s.n_psi, some(s.planes), s.level, s.rings, some(s.orientations), S.Decision(**d, calibration=T.Calibration(**calibration) if calibration else None))
+
+
+def prepared_images(spark: SparkSession, config: cfg.SearchConfig, images: DataFrame, meta: dict, grid: PolarGrid, cut) -> DataFrame:
+    """The images as they are searched: whitened and measured under ``whitening``, taken from ``prepared`` where that holds
+    them, else only normalised."""
+    if config.whitening is None:
+        return cut(prepared.normalised(images), "normalised")
+    recorded = whitening_filter(spark, config.whitening)
+    check_template_filter(meta["filter"], recorded)
+    record = config.model_dump(mode="json", include={"images", "whitening", "error_tables", "defocus", "micrographs", "pixel_size", "voltage", "spherical_aberration", "amplitude_contrast", "phase_shift", "invert"})
+    if config.prepared and (found := prepared.load(spark, config.prepared, record)) is not None and images.join(found, "image_id", "left_anti").isEmpty():
+        return found.join(images.select("image_id"), "image_id", "left_semi")
+    planes = plane_table(images, config)
+    if planes is None:
+        flat = F.array(F.struct(F.lit(0.0).alias("defocus"), F.lit(0.0).alias("astigmatism"), F.lit(0.0).alias("angle")))
+        planes = images.select("image_id", flat.alias("planes"))
+    bins = store.read_attr(spark, config.error_tables, "bins") if config.error_tables else None
+    spectra = store.load(spark, config.whitening, "whitening")["spectra"]
+    out = prepared.prepare(images, spectra, planes, optics_of(config), max_freq=recorded["max_freq"], cutoff=recorded["cutoff"], falloff=recorded["falloff"], table_bins=bins, radius=tables.support_radius(tables.support(grid)))
+    if config.prepared:
+        prepared.save(spark, config.prepared, out, record)
+        return prepared.load(spark, config.prepared)
+    return cut(out, "prepared")
+
+
+def optics_of(config: cfg.SearchConfig) -> prepared.Optics:
+    return prepared.Optics(config.pixel_size, config.voltage, config.spherical_aberration, config.amplitude_contrast, config.phase_shift)
+
+
 def run_search(spark: SparkSession, config: cfg.SearchConfig, cut=None) -> DataFrame:
-    """The ledger of all images that the output does not hold yet."""
+    """The ledger of all images, those that the output held already among them."""
     t = store.load_decomposition(spark, config.decomposition)
     meta = store.read_meta(spark, config.decomposition)["config"]
     grid = PolarGrid.from_dict(meta["grid"])
@@ -137,54 +184,70 @@ def run_search(spark: SparkSession, config: cfg.SearchConfig, cut=None) -> DataF
     images = mrc.read(spark, config.images)
     if config.invert:
         images = images.withColumn("data", F.transform("data", lambda x: -x))
-    try:
-        done = store.load(spark, config.output, "result")["ledger"]
-    except Exception as missing:  # nothing was written there yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = None
+    before = store.load_result(spark, config.output) if store.exists(spark, config.output) else {}
+    done = before.get("ledger")
     images = S.unfinished(images, done)
+    if done is not None and images.isEmpty():
+        return done
     h, w = image_shape(images)
     (out_h, out_w), _ = I.search_grid((h, w), box)
-    stages = [S.Stage(tuple(s.rectangles), s.n_psi, tuple(s.planes) if s.planes is not None else None, s.level, s.rings, S.Decision(**s.decision.model_dump())) for s in config.stages]
-    k_max = max(r[0] + r[2] for s in stages for r in s.rectangles)
-    eig_max = max(r[1] + r[3] for s in stages for r in s.rectangles)
+    stages = [stage_of(s) for s in config.stages]
+    execution = planning.execution_config(config.execution)
     if cut is None:
         context = spark.sparkContext
         if not context.getCheckpointDir():
-            context.setCheckpointDir(f"{config.output}/checkpoints")
+            context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{config.output}/checkpoints")
         cut = lambda df, name: df.checkpoint()
-    table = cut(features(images.withColumn("data", _normalised("data")), kernels(t["vh"], grid, k_max, eig_max), ctf_bank(spark, config, h, w), h, w), "features")
+    ready = prepared_images(spark, config, images, meta, grid, cut)
+    n_orientations = t["orientations"].count()
+    stored = tuple(r + 1 for r in t["s"].agg(F.max("k"), F.max("m")).first())
+    n_filters = (t["u"].agg(F.max("n")).first()[0] + 1) // n_orientations
+    rows = planning.plan_bands((out_h, out_w), max(s.num_features for s in stages), execution)
+    bands = cut(B.plane_bands(ready, plane_table(images, config), optics_of(config), box, rows), "bands")
     weights = C.weights_of(t["u"].select("n", "k", "m", "re", "im"), t["s"])
-    rows = t["orientations"].count()
+    work = engine.Engine(bands, rows, (h, w), (out_h, out_w), grid, t["vh"], weights, t["orientations"], meta["nside"], len(config.defocus), n_filters, n_orientations, stored, cut, execution)
+    searcher = S.Searcher(weights, stages, len(config.defocus), work.n_templates, None, cut, box=box, engine=work)
+    if any(s.decision.calibration for s in stages):
+        error_meta = store.read_meta(spark, config.error_tables)["config"]
+        curves = cut(prepared.curve_table(ready, error_meta["bins"]), "curves")
+
+        def scales(stage):
+            table = store.error_table(spark, config.error_tables, tables.tag_of(stage.rectangles))
+            tables.check_table(error_meta, meta, work.n_templates, table.select("n").distinct().count())
+            return cut(T.scales(curves.drop("freq").join(table.select("f", "freq").distinct(), "f"), table.drop("freq", "tag"), config.pixel_size, stage.decision.calibration.b_factor, work.selected(stage), stage.planes), "scales")
+
+        searcher.levels, searcher.scales = prepared.level_table(ready), scales
     masks = mrc.read_masks(spark, config.masks) if config.masks else None
-    searcher = S.Searcher(weights, stages, len(config.defocus), rows, lambda px, stage: table.join(px.select("image_id", "pixel_id"), ["image_id", "pixel_id"], "left_semi"), cut)
-    ledger = searcher.run(L.new_ledger(positions(images.select("image_id"), out_h, out_w, masks, box)))
-    decoded = searcher.decode(ledger, t["orientations"], config.defocus, 1)
-    result = decoded if done is None else decoded.unionByName(done, allowMissingColumns=True)
-    result = cut(result, "result")
-    store.save(spark, config.output, "result", {"ledger": result}, config.model_dump(mode="json"), "search")
-    return store.load(spark, config.output, "result")["ledger"]
-
-
-def _normalised(column: str):
-    n = F.size(column)
-    mean = F.aggregate(column, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean
-    sd = F.sqrt(F.greatest(var * n / F.greatest(n - 1, F.lit(1)), F.lit(1e-30)))
-    return F.transform(column, lambda x: (x - mean) / sd)
+    snapshots: list | None = [] if config.save_stages else None
+    ledger = searcher.run(L.new_ledger(positions(images.select("image_id"), out_h, out_w, masks, box)), snapshots)
+    decoded = searcher.decode(ledger, t["orientations"], config.defocus, n_filters)
+    out = {"ledger": decoded if done is None else decoded.unionByName(done, allowMissingColumns=True)}
+    if snapshots:
+        old = before.get("stage_results")
+        new = snapshots[0]
+        for x in snapshots[1:]:
+            new = new.unionByName(x)
+        out["stage_results"] = new if old is None else new.unionByName(old, allowMissingColumns=True)
+    record = config.model_dump(mode="json") | {"total_correlations": len(config.defocus) * work.n_templates * stages[-1].n_psi, "stages_json": [s.to_json() for s in stages]}
+    store.save(spark, config.output, "result", out, record, "search")
+    S.summary(store.table(spark, config.output, "ledger")).show(truncate=False)
+    return store.table(spark, config.output, "ledger")
 
 
 def run_export(spark: SparkSession, config: cfg.ExportConfig) -> DataFrame:
-    ledger = store.load(spark, config.result, "result")["ledger"]
-    decomposition = store.read_meta(spark, store.read_meta(spark, config.result)["config"]["decomposition"])["config"]
+    ledger = store.load_result(spark, config.result)["ledger"]
+    searched = store.read_meta(spark, config.result)["config"]
+    decomposition = store.read_meta(spark, searched["decomposition"])["config"]
     box = (decomposition["box"], decomposition["box"])
+    maps = L.exchange_maps(ledger)
+    store.append_maps(config.result, maps)
     picked = L.pick_particles(ledger, config.radius)
-    table = L.particle_table(L.exchange_maps(ledger), picked, box, config.pixel_size, 0)
+    optics = {"voltage": searched["voltage"], "spherical_aberration": searched["spherical_aberration"], "amplitude_contrast_ratio": searched["amplitude_contrast"], "phase_shift": searched["phase_shift"]} | config.optics
+    table = L.particle_table(maps, picked, box, config.pixel_size, searched["total_correlations"], optics, searched["micrographs"])
     if picked.isEmpty():
         raise ValueError("the result holds no particles")
     store.save(spark, config.output, "particles", {"particles": table}, config.model_dump(mode="json"), "export")
-    return spark.read.parquet(f"{config.output}/particles")
+    return store.table(spark, config.output, "particles")
 
 
 RUN = {"whitening": run_whitening, "decompose": run_decompose, "calibrate": run_calibrate, "search": run_search, "export": run_export}

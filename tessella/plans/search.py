@@ -7,9 +7,8 @@ templates; the only driver-side decision is whether anything is left to search.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ class Stage:
     planes: tuple[int, ...] | None = None
     level: int | None = None
     rings: int | None = None
+    orientations: tuple[int, ...] | None = None
     decision: Decision = field(default_factory=Decision)
 
     def __post_init__(self):
@@ -59,18 +59,7 @@ class Stage:
         d = json.loads(text)
         dec = d.pop("decision")
         cal = dec.pop("calibration")
-        return cls(**{**d, "rectangles": tuple(map(tuple, d["rectangles"])), "planes": tuple(d["planes"]) if d["planes"] else None}, decision=Decision(**dec, calibration=T.Calibration(**cal) if cal else None))
-
-
-def choose_mode(positions: int, selected: int, image: tuple[int, int], box: tuple[int, int]) -> str:
-    """Direct features for a center, for images hardly larger than the box, or for few positions; else by transforms."""
-    close = max(image[0] - box[0], image[1] - box[1]) <= 32
-    return "direct" if image == box or close or selected <= 0.02 * positions else "fft"
-
-
-def choose_form(n_templates: int, num_features: int, limit: int = C.BROADCAST_LIMIT) -> str:
-    """Arrow with the templates in every task while they fit ``limit`` bytes, else the relational join."""
-    return "arrow" if n_templates * num_features * 16 <= limit else "relational"
+        return cls(**{**d, "rectangles": tuple(map(tuple, d["rectangles"])), **{x: tuple(d[x]) if d.get(x) is not None else None for x in ("planes", "orientations")}}, decision=Decision(**dec, calibration=T.Calibration(**cal) if cal else None))
 
 
 @dataclass
@@ -85,10 +74,17 @@ class Searcher:
     cut: Callable[[DataFrame, str], DataFrame]
     neighborhood: DataFrame | None = None  # (cell, n) for local stages
     cell_of: DataFrame | None = None  # (n, cell)
-    levels: DataFrame | None = None
-    scales: DataFrame | None = None
+    levels: DataFrame | None = None  # (image_id, row, col, level) of prepared images
+    scales: Callable[[Stage], DataFrame] | None = None  # of a stage's rectangles, by image, plane and template row
     box: tuple[int, int] = (1, 1)
     at_level: Callable[[int], DataFrame] | None = None  # template rows of a level
+    engine: object | None = None  # does a stage's work by bands; without it ``features`` and ``weights`` are joined
+
+    def with_thresholds(self, thresholds: Sequence[float | None]) -> Searcher:
+        """The same search with other thresholds; None leaves a stage's own."""
+        if len(thresholds) != len(self.stages):
+            raise ValueError(f"{len(thresholds)} thresholds for {len(self.stages)} stages")
+        return replace(self, stages=[s if t is None else replace(s, decision=replace(s.decision, threshold=float(t))) for s, t in zip(self.stages, thresholds, strict=True)])
 
     def with_threshold(self, ledger: DataFrame, stage: Stage, positions: DataFrame) -> DataFrame:
         """The ledger with a ``_threshold``. "auto" takes an image's own searchable positions, (image_id, count), and
@@ -102,10 +98,16 @@ class Searcher:
 
     def maps(self, pixels: DataFrame, stage: Stage) -> DataFrame:
         """(image_id, pixel_id, mip, mean, variance, zscore, best_index, best_psi) of a stage."""
+        if self.engine is not None:
+            return self.engine.maps(pixels, stage)
+        if stage.level is not None and self.at_level is None or stage.orientations is not None:
+            raise ValueError("this searcher does not know which templates the stage selects")
+        if stage.rings is not None and (self.cell_of is None or self.neighborhood is None):
+            raise ValueError("this searcher knows no neighborhoods for a local stage")
         keys = ["image_id", "pixel_id"]
         feats = self.features(pixels, stage).where(C.in_rectangles(stage.rectangles))
         w = self.weights.where(C.in_rectangles(stage.rectangles))
-        if stage.level is not None and self.at_level is not None:
+        if stage.level is not None:
             w = w.join(self.at_level(stage.level).select("n").distinct(), "n", "left_semi")
         if stage.planes is not None:
             feats = feats.where(F.col("plane").isin(list(stage.planes)))
@@ -127,8 +129,10 @@ class Searcher:
         d, t, columns = stage.decision, F.col("_threshold"), ledger.columns
         now = (F.col("last_stage") == index) & (F.col("label") == L.LABELS["AMBIGUOUS"])
         if d.calibration is not None:
+            if self.levels is None or self.scales is None:
+                raise ValueError("a calibrated decision needs levels and scales of prepared images")
             px = self.with_threshold(ledger.where(now), stage, positions).withColumn("plane", F.floor(F.col("best_index") / self.n_templates)).withColumn("n", F.pmod("best_index", F.lit(self.n_templates)))
-            scored = T.score(px, self.levels, self.scales, d.calibration, t, self.box)
+            scored = T.score(px, self.levels, self.scales(stage), d.calibration, t, self.box)
             ledger = L.set_values(ledger, scored.select("image_id", "pixel_id", F.col("score").cast("double").alias("value")), "score")
             label = L.tested_label(F.col("zscore"), t, F.col("score"), d.calibration.z_alpha, d.accept)
         else:
@@ -136,20 +140,24 @@ class Searcher:
         out = self.with_threshold(ledger, stage, positions).withColumn("label", F.when(now, label).otherwise(F.col("label")).cast("tinyint")).select(*columns)
         return L.absorb_near_accepted(out, d.absorb_radius) if d.absorb_radius else out
 
-    def session(self, ledger: DataFrame):
-        """(stage number, ledger) after each stage, until no pixel is left to search."""
+    def session(self, ledger: DataFrame, keep: list | None = None):
+        """(stage number, ledger) after each stage, until no pixel is left to search. ``keep`` gets each stage's maps."""
         searchable = ledger.where(F.col("label") != L.LABELS["MASKED"])
         positions = self.cut(searchable.groupBy("image_id").count(), "positions")
         for i, stage in enumerate(self.stages):
             pixels = ledger.where(F.col("label") == L.LABELS["PENDING"]) if i == 0 else L.next_stage_pixels(ledger)
             if pixels.isEmpty():
                 return
-            ledger = self.cut(L.write_maps(ledger, self.maps(pixels, stage), i), f"stage-{i}")
+            maps = self.maps(pixels, stage)
+            if keep is not None:
+                maps = self.cut(maps, f"maps-{i}")
+                keep.append(maps.select(F.lit(i).alias("stage"), "image_id", "pixel_id", *L.MAP_COLUMNS, F.pmod("best_index", F.lit(self.n_templates)).alias("best_virtual")))
+            ledger = self.cut(L.write_maps(ledger, maps, i), f"stage-{i}")
             ledger = self.cut(self.decide(ledger, stage, i, positions), f"decided-{i}")
             yield i, ledger
 
-    def run(self, ledger: DataFrame) -> DataFrame:
-        for _, ledger in self.session(ledger):  # noqa: B007
+    def run(self, ledger: DataFrame, keep: list | None = None) -> DataFrame:
+        for _, ledger in self.session(ledger, keep):  # noqa: B007
             pass
         return ledger
 
@@ -170,8 +178,3 @@ def summary(ledger: DataFrame) -> DataFrame:
 
 def unfinished(images: DataFrame, done: DataFrame | None) -> DataFrame:
     return images if done is None else images.join(done.select("image_id").distinct(), "image_id", "left_anti")
-
-
-def band_count(pixels: int, bytes_per_pixel: int, limit: int) -> int:
-    """Partitions in which a stage's pixels fit ``limit`` bytes each."""
-    return max(1, math.ceil(pixels * bytes_per_pixel / limit))

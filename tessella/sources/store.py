@@ -1,32 +1,70 @@
 """Named sets of tables with their kind, version and provenance; what was written whole can be read.
 
-A set is a folder with a Parquet table per name and a table ``meta`` of one row, which is written last: a set without
-it is not there. Kinds: decomposition, whitening, error_tables, micrograph, result.
+A set is a folder of Parquet tables and a table ``meta``, to which a row is added last that names the folder: a set
+without it is not there, and one that is written again is the old one until then. Kinds: decomposition, whitening, error_tables, micrograph, result.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 VERSION = 1
-PARTITIONS = {"u": "k", "vh": "k", "error_tables": "tag", "ledger": "image_id", "images": "image_id"}
+PARTITIONS = {"u": "k", "vh": "k", "error_tables": "tag", "ledger": "image_id", "images": "image_id", "stage_results": "stage"}
 
 
 def save(spark: SparkSession, path: str, kind: str, tables: dict[str, DataFrame], config: dict | None = None, program: str = "") -> None:
+    """Write the tables into a folder of their own, then a row of ``meta`` that names it. A set that is written again is
+    the old one until that row is committed, so tables may be made from those they replace; then older folders go."""
+    number = (read_meta(spark, path)["number"] + 1) if exists(spark, path) else 0
+    folder = f"tables-{number}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         by = PARTITIONS.get(name)
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(by) if by and by in df.columns else writer).parquet(f"{path}/{name}")
-    meta = spark.createDataFrame([(kind, VERSION, program, json.dumps(config or {}, default=str), sorted(tables))], "kind string, version int, program string, config string, tables array<string>")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by and by in df.columns else writer).parquet(f"{path}/{folder}/{name}")
+    meta = spark.createDataFrame([(kind, VERSION, program, json.dumps(config or {}, default=str), sorted(tables), folder, number, json.dumps({n: df.schema.jsonValue() for n, df in tables.items()}))], META)
+    meta.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("tables-") and name != folder:
+            fs.delete(status.getPath(), True)
+
+
+META = "kind string, version int, program string, config string, tables array<string>, folder string, number int, schemas string"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a set was written whole at ``path``."""
+    meta = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    return meta.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(meta)
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    row = spark.read.parquet(f"{path}/meta").first()
-    return {**row.asDict(), "config": json.loads(row["config"])}
+    """The newest row of ``meta``."""
+    rows = spark.read.schema(META).parquet(f"{path}/meta").collect()  # one a write
+    row = max(rows, key=lambda r: r["number"] or 0)
+    return {**row.asDict(), "number": row["number"] or 0, "config": json.loads(row["config"]), "schemas": json.loads(row["schemas"] or "{}")}
+
+
+def read_attr(spark: SparkSession, path: str, key: str):
+    """One value of the recorded configuration; None where it was not recorded."""
+    return read_meta(spark, path)["config"].get(key)
+
+
+def _read(spark: SparkSession, path: str, meta: dict, name: str) -> DataFrame:
+    """A table with the types it was written with, those of partition columns included."""
+    reader = spark.read.schema(StructType.fromJson(meta["schemas"][name])) if name in meta["schemas"] else spark.read
+    return reader.parquet(f"{path}/{meta['folder']}/{name}" if meta["folder"] else f"{path}/{name}")
+
+
+def table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return _read(spark, path, read_meta(spark, path), name)
 
 
 def check_format(meta: dict, kind: str, path: str = "") -> None:
@@ -41,7 +79,7 @@ def load(spark: SparkSession, path: str, kind: str) -> dict[str, DataFrame]:
     """The tables, lazily: Spark reads the columns and partitions that a query needs."""
     meta = read_meta(spark, path)
     check_format(meta, kind, path)
-    return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    return {name: _read(spark, path, meta, name) for name in meta["tables"]}
 
 
 def read_config(spark: SparkSession, path: str, program: str) -> dict | None:
@@ -85,4 +123,8 @@ def append_maps(path: str, maps: DataFrame) -> None:
 
 
 def error_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The profiles of one set of rectangles; a set without them is refused."""
+    meta = read_meta(spark, path)
+    if tag not in meta["config"].get("tags", []):
+        raise ValueError(f"{path} holds no error table of the rectangles {tag}; known: {', '.join(meta['config'].get('tags', []))}")
     return load(spark, path, "error_tables")["error_tables"].where(F.col("tag") == tag)
