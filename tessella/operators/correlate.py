@@ -113,12 +113,26 @@ def finalize(stats: DataFrame, n_evaluated: int | Column) -> DataFrame:
     return out.withColumn("zscore", (F.col("mip") - F.col("mean")) / F.greatest(F.sqrt("variance"), F.lit(1e-12))).drop("s1", "s2")
 
 
+def fits(table: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
+    """Whether a table has no more rows than ``limit`` bytes hold; it is counted up to there."""
+    most = max(1, limit // row_bytes)
+    return table.limit(most + 1).count() <= most
+
+
 def search(features: DataFrame, weights: DataFrame, n_psi: int, n_templates: int, keys: Sequence[str] = ("p",), digits: int | None = None) -> DataFrame:
-    """(keys, mip, best_virtual, best_psi, mean, variance, zscore) in the relational form."""
-    spectrum = hermitian(contract(features, weights, keys), n_psi)
-    best = peaks(correlogram(spectrum, n_psi, keys), keys, digits)
-    out = finalize(best.join(moments(spectrum, n_psi, keys), list(keys)), n_templates * n_psi)
-    return out.withColumn("best_psi", reported_psi(F.col("raw_psi"), n_psi)).drop("raw_psi")
+    """(keys, mip, best_virtual, best_psi, mean, variance, zscore) in the relational form.
+
+    Features are dealt out by pixel once. Templates that fit a broadcast meet them there, and as all later groups begin
+    with the pixel, neither spectrum nor correlogram is shuffled; sums over all angles are those that ``moments`` takes
+    from the spectrum. Larger sets of templates are joined on (k, m), which shuffles products: they belong in blocks.
+    """
+    here = fits(weights, 64)
+    spectrum = hermitian(contract(features.repartition(*keys) if here else features, F.broadcast(weights) if here else weights, keys), n_psi)
+    value = F.round("c", digits) if digits is not None else F.col("c")
+    best = F.max(F.struct(value.alias("c"), (-F.col("n")).alias("n"), (-F.col("raw_psi")).alias("a"))).alias("x")
+    one = correlogram(spectrum, n_psi, keys).groupBy(*keys).agg(best, F.sum("c").alias("s1"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+    stats = one.select(*keys, F.col("x.c").alias("mip"), (-F.col("x.n")).cast("long").alias("best_virtual"), reported_psi((-F.col("x.a")).cast("int"), n_psi).alias("best_psi"), "s1", "s2")
+    return finalize(stats, n_templates * n_psi)
 
 
 def pack(features: DataFrame, num_k: int, num_m: int, keys: Sequence[str] = ("p",)) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import rings
+
 CORNER = math.sqrt(2) / 2  # of the frequency square, in cycles per pixel
 
 
@@ -152,15 +154,29 @@ def correction_curve(spectrum: DataFrame, max_freq: float | None = 0.5) -> DataF
 
 
 def curve_to_grid(curve: DataFrame, h: int, w: int, bins: int, keys: tuple[str, ...] = ("image_id",), column: str = "curve") -> DataFrame:
-    """(keys, ky, kx, value): the curve on the half spectrum, linear between its points, 1 beyond them."""
-    step = CORNER / (bins - 1)
-    grid = rfft_grid(curve.sparkSession, h, w).withColumn("f", F.floor(F.round(F.col("radius") / step, 9)).cast("int")).withColumn("t", F.col("radius") / step - F.col("f"))
-    at = lambda name, shift: curve.select(*keys, (F.col("f") - shift).alias("f"), F.col(column).alias(name))
-    on = [*keys, "f"]
-    cells = curve.select(*keys).distinct().join(grid.select("ky", "kx", "f", "t"), F.lit(True)) if keys else grid
-    j = cells.join(at("lo", 0), on, "left").join(at("hi", 1), on, "left")
-    inside = F.col("lo").isNotNull() & (F.col("hi").isNotNull() | (F.col("t") < 1e-9))
-    return j.select(*keys, "ky", "kx", F.when(inside, F.col("lo") + F.greatest("t", F.lit(0.0)) * (F.coalesce("hi", "lo") - F.col("lo"))).otherwise(1.0).alias("value"))
+    """(keys, ky, kx, value): the curve on the half spectrum, linear between its points, 1 where it has none. A curve is a
+    row, and the grid is made where it is."""
+    one = curve.groupBy(*keys).agg(F.collect_list(F.struct(F.col("f").cast("int").alias("f"), F.col(column).cast("double").alias("v"))).alias("x"))  # a ring each
+    cells = np.arange(h * (w // 2 + 1))
+
+    def run(batches):
+        import pandas as pd
+
+        at = rings.radii(h, w).ravel() * (bins - 1) / CORNER
+        lo = np.floor(np.round(at, 9)).astype(int)
+        t = np.maximum(at - lo, 0.0)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                points = np.full(max(bins, lo.max() + 1) + 1, np.nan)
+                for x in row[-1]:
+                    if 0 <= x["f"] < len(points):
+                        points[x["f"]] = x["v"]
+                high = np.where((t < 1e-9) & np.isnan(points[lo + 1]), points[lo], points[lo + 1])
+                value = points[lo] + t * (high - points[lo])
+                yield pd.DataFrame({**dict(zip(keys, row, strict=False)), "ky": (cells // (w // 2 + 1)).astype(np.int32), "kx": (cells % (w // 2 + 1)).astype(np.int32), "value": np.where(np.isnan(value), 1.0, value)})
+
+    kinds = dict(curve.dtypes)
+    return one.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ky int", "kx int", "value double"]))
 
 
 def band(radius: Column, cutoff: float, falloff: float) -> Column:
@@ -196,20 +212,47 @@ def normalise(pixels: DataFrame) -> DataFrame:
 
 
 def disk_mean(pixels: DataFrame, radius: int) -> DataFrame:
-    """(image_id, row, col, value): the mean over the disk about each pixel, of what of it lies in the image."""
-    offs = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    spread = pixels.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offs])))
-    to = spread.select("image_id", (F.col("row") + F.col("_o.i")).alias("row"), (F.col("col") + F.col("_o.j")).alias("col"), "value")
-    means = to.groupBy("image_id", "row", "col").agg(F.avg("value").alias("value"))
-    return means.join(pixels.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_semi")
+    """(image_id, row, col, value): the mean over the disk about each pixel, of what of it lies in the image. An image at a
+    time, by running sums."""
+    kind = dict(pixels.dtypes)["image_id"]
+
+    def kernel(pdf):
+        import pandas as pd
+
+        r, c = pdf["row"].to_numpy(int), pdf["col"].to_numpy(int)
+        values, there = np.zeros((r.max() + 1, c.max() + 1)), np.zeros((r.max() + 1, c.max() + 1))
+        values[r, c], there[r, c] = pdf["value"], 1.0
+        mean = rings.disk_mean(values, radius)[r, c] / rings.disk_mean(there, radius)[r, c]
+        return pd.DataFrame({"image_id": pdf["image_id"], "row": pdf["row"], "col": pdf["col"], "value": mean})
+
+    return pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("double")).groupBy("image_id").applyInPandas(kernel, f"image_id {kind}, row int, col int, value double")
 
 
 def featurize(pixels: DataFrame, kernels: DataFrame, box: tuple[int, int], out: tuple[int, int]) -> DataFrame:
-    """(image_id, row, col, k, m, re, im): each position's box against kernels (k, m, dr, dc, re, im), conjugated."""
-    offs = kernels.select("dr", "dc", "k", "m", F.col("re").alias("kr"), F.col("im").alias("ki"))
-    spread = pixels.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(box[0] * box[1] - 1)))).withColumn("dr", F.floor(F.col("_c") / box[1]).cast("int")).withColumn("dc", F.pmod("_c", F.lit(box[1])).cast("int"))
-    at = spread.select("image_id", (F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", "value").where(F.col("row").between(0, out[0] - 1) & F.col("col").between(0, out[1] - 1))
-    return at.join(offs, ["dr", "dc"]).groupBy("image_id", "row", "col", "k", "m").agg(F.sum(F.col("value") * F.col("kr")).alias("re"), F.sum(-F.col("value") * F.col("ki")).alias("im"))
+    """(image_id, row, col, k, m, re, im): each position's box against kernels (k, m, dr, dc, re, im), conjugated.
+
+    Kernels are few (they are checked to fit a broadcast); boxes are views of an image, multiplied with all kernels at once.
+    """
+    from .correlate import fits
+
+    if not fits(kernels, 64):
+        raise ValueError("these kernels are larger than a broadcast may be")
+    rows = kernels.toPandas()
+    index = sorted(set(zip(rows["k"], rows["m"], strict=True)))
+    bank = np.zeros((len(index), *box), complex)
+    bank[[index.index(c) for c in zip(rows["k"], rows["m"], strict=True)], rows["dr"], rows["dc"]] = rows["re"] + 1j * rows["im"]
+    k, m = (np.array(x, np.int32) for x in zip(*index, strict=True))
+    h, w = out[0] + box[0] - 1, out[1] + box[1] - 1
+
+    def kernel(image_id, data):
+        boxes = np.lib.stride_tricks.sliding_window_view(data, box).reshape(-1, box[0] * box[1])
+        y = boxes @ bank.reshape(len(index), -1).conj().T
+        at = np.repeat(np.arange(len(y)), len(index))
+        return {"image_id": [image_id] * y.size, "row": (at // out[1]).astype(np.int32), "col": (at % out[1]).astype(np.int32), "k": np.tile(k, len(y)), "m": np.tile(m, len(y)), "re": y.real.ravel(), "im": y.imag.ravel()}
+
+    inside = pixels.where((F.col("row") < h) & (F.col("col") < w))
+    kind = dict(pixels.dtypes)["image_id"]
+    return per_image(image_rows(inside, h, w), kernel, h, w, f"image_id {kind}, row int, col int, k int, m int, re double, im double")
 
 
 def featurize_fft(images: DataFrame, kernels: np.ndarray, h: int, w: int) -> DataFrame:

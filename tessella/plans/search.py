@@ -93,8 +93,7 @@ class Searcher:
         if t != "auto":
             return ledger.withColumn("_threshold", F.lit(float(t)))
         tests = self.n_planes * self.n_templates * stage.n_psi
-        of = F.udf(lambda n: L.zscore_threshold(n, tests), "double")
-        return ledger.join(positions.select("image_id", of("count").alias("_threshold")), "image_id", "left")
+        return ledger.join(positions.select("image_id", L.threshold_column(F.col("count") * F.lit(tests)).alias("_threshold")), "image_id", "left")
 
     def maps(self, pixels: DataFrame, stage: Stage) -> DataFrame:
         """(image_id, pixel_id, mip, mean, variance, zscore, best_index, best_psi) of a stage."""

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import healpix
 from tessella.functions.healpix import unit_vectors
 from tessella.functions.polar import PolarGrid
 from tessella.operators import correlate as C
@@ -20,6 +21,7 @@ from tessella.operators import hypotheses as H
 from tessella.operators import imaging as I
 from tessella.operators import ledger as L
 from tessella.operators import threshold as T
+from tessella.plans import search as S
 from tessella.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +93,7 @@ def _packed_search(spark, sf, n_psi):
     feats, w = A.features(spark, sf), A.weights(spark, sf)
     block = C.weight_block(w, A.K, A.M)
     if block is None:  # too large for every task: the relational form
-        return C.search(feats.drop("label"), w, n_psi, 10)
+        return C.search(feats.drop("label"), w, n_psi, 10, digits=6)
     return C.search_packed(C.pack(feats, A.K, A.M), block, n_psi)
 
 
@@ -435,10 +437,27 @@ def particle_table(spark, sf):
     return tidy(out.select("particle_index", "image_id", "pos_y", "pos_x", "pos_y_img", "pos_x_img", "pos_y_img_angstrom", "mip", "scaled_mip", "psi", "label", "stage"), 4)
 
 
-@register("auto_thresholds", sql(PIXELS, "SELECT image_id, count(*) AS n_pixels FROM pixels GROUP BY image_id", "image_id:s n_pixels:l"))
+def _poly(values, x):
+    return " + ".join(f"({v!r}) * power({x}, {i})" for i, v in enumerate(values))
+
+
+def _ratio(part, x):
+    top, below = L.QUANTILE[part]
+    return f"({_poly(top, x)}) / ({_poly(below, x)})"
+
+
+AUTO = PIXELS + """, counted AS (SELECT image_id, count(*) AS n_pixels, count(*) * 3.0 * 12 * 16 AS tests FROM pixels GROUP BY image_id),
+tails AS (SELECT *, sqrt(ln(tests)) AS r FROM counted)"""
+
+
+@register("auto_thresholds", sql(AUTO, f"SELECT image_id, n_pixels, CASE WHEN r <= 5 THEN {_ratio('middle', '(r - 1.6)')} ELSE {_ratio('tail', '(r - 5.0)')} END AS threshold FROM tails", "image_id:s n_pixels:l threshold:d"))
 def auto_thresholds(spark, sf):
-    """Searchable positions per image, of which the driver makes thresholds."""
-    return tidy(A.pixels(spark, sf).groupBy("image_id").agg(F.count("*").alias("n_pixels")))
+    """Each image's threshold by its own positions, as a stage takes it: 3 planes, 12 templates, 16 angles."""
+    led = L.new_ledger(A.pixels(spark, sf).select("image_id", "pixel_id", "row", "col"))
+    counts = led.groupBy("image_id").count()
+    searcher = S.Searcher(None, [], 3, 12, None, None)
+    got = searcher.with_threshold(led.select("image_id").distinct(), S.Stage(((0, 0, 1, 1),), 16), counts)
+    return tidy(got.join(counts, "image_id").select("image_id", c("count").alias("n_pixels"), c("_threshold").alias("threshold")))
 
 
 @register("resume", sql("done AS (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_returnflag = 'R')", "SELECT l_returnflag AS image_id, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN (SELECT l_returnflag FROM done) GROUP BY ALL", "image_id:s n:l"))
@@ -581,10 +600,12 @@ def grid_mask(spark, sf):
     return tidy(m.select("image_id", c("row").alias("r"), c("col").alias("k")))
 
 
-@register("scatter", sql("g AS (SELECT unnest(range(0, 3000)) AS pixel_id)", "SELECT g.pixel_id, coalesce(v.value, -1) AS value FROM g LEFT JOIN (SELECT o_orderkey AS pixel_id, o_totalprice AS value FROM orders WHERE o_orderkey % 2 = 0) v USING (pixel_id)", "pixel_id:l value:d"))
+@register("scatter", sql("g AS (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS pixel_id)", "SELECT g.pixel_id, coalesce(v.value, -1) AS value FROM g LEFT JOIN (SELECT o_orderkey AS pixel_id, o_totalprice AS value FROM orders) v USING (pixel_id)", "pixel_id:l value:d"))
 def scatter(spark, sf):
-    v = A.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(c("o_orderkey").alias("pixel_id"), c("o_totalprice").alias("value"))
-    return tidy(I.scatter(spark.range(3000).withColumnRenamed("id", "pixel_id"), v, ["pixel_id"], "value", -1.0))
+    """Orders on the grid of all keys up to the largest; keys that no order has are the gaps."""
+    v = A.table(spark, sf, "orders").select(c("o_orderkey").alias("pixel_id"), c("o_totalprice").alias("value"))
+    grid = v.agg((F.max("pixel_id") + 1).alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), c("n") - 1)).alias("pixel_id"))
+    return tidy(I.scatter(grid, v, ["pixel_id"], "value", -1.0))
 
 
 @register("positions", sql("", "SELECT o_orderkey AS id, o_orderkey // 2000 AS image, (o_orderkey % 2000) // 40 + 2 AS r, o_orderkey % 40 + 3 AS k FROM orders", "id:l image:l r:l k:l"))
@@ -675,6 +696,25 @@ def svd_energy(spark, sf):
     return tidy(s.groupBy("k").agg(F.sum(c("s") * c("s")).alias("energy")), 4)
 
 
+@register("svd_values", sql(FEATURES, "SELECT p AS n, k, m AS r, re, im FROM features", "n:l k:l r:l re:d im:d", 4))
+def svd_values(spark, sf):
+    """The factors multiplied again: every value of every frequency's matrix."""
+    rows = A.features(spark, sf).groupBy(c("p").alias("n"), "k").agg(F.array_sort(F.collect_list(F.struct("m", "re", "im"))).alias("x")).select("n", "k", F.transform("x", lambda x: x["re"]).alias("re"), F.transform("x", lambda x: x["im"]).alias("im"))
+    u, s, vh = D.svd_per_frequency(rows, A.M)
+    w = C.weights_of(u, s).select("n", "k", "m", c("re").alias("wr"), c("im").alias("wi"))
+    j = w.join(vh.select("k", "m", "r", c("re").alias("vr"), c("im").alias("vi")), ["k", "m"])
+    return tidy(j.groupBy("n", "k", "r").agg(F.sum(c("wr") * c("vr") - c("wi") * c("vi")).alias("re"), F.sum(c("wr") * c("vi") + c("wi") * c("vr")).alias("im")), 4)
+
+
+@register("healpix_neighbors", sql("px AS (SELECT unnest(range(0, 4)) AS i)", """SELECT DISTINCT pixel, neighbor FROM (
+    SELECT i AS pixel, unnest([(i + 1) % 4, (i + 2) % 4, (i + 3) % 4, 4 + i, 4 + (i + 1) % 4, 8 + i]) AS neighbor FROM px UNION ALL
+    SELECT 4 + i, unnest([i, (i + 3) % 4, 8 + i, 8 + (i + 3) % 4, 4 + (i + 1) % 4, 4 + (i + 3) % 4]) FROM px UNION ALL
+    SELECT 8 + i, unnest([8 + (i + 1) % 4, 8 + (i + 2) % 4, 8 + (i + 3) % 4, 4 + i, 4 + (i + 1) % 4, i]) FROM px)""", "pixel:l neighbor:l"))
+def healpix_neighbors(spark, sf):
+    """Of the twelve base pixels: four round either pole and four on the equator between them."""
+    return tidy(healpix.neighbors(spark, 1))
+
+
 @register("group_errors", sql(ERRORS, "SELECT n % 4 AS part, sqrt(sum(angular_loss + eigen_loss) / sum(energy)) AS error FROM errors GROUP BY 1 UNION ALL SELECT NULL, sqrt(sum(angular_loss + eigen_loss) / sum(energy)) FROM errors", "part:l error:d"))
 def group_errors(spark, sf):
     """One fact table by part and in total, in one pass: grouping sets."""
@@ -700,3 +740,74 @@ def parseval_weights(spark, sf):
     return tidy(A.features(spark, sf).groupBy("k").agg(F.sum(E.parseval_weight(c("k"), 6) * c("re") * c("re")).alias("e")))
 
 
+
+
+# the search by bands
+
+
+BANDED = TINY + ", " + KERNELS + """, y0 AS (SELECT image_id, "row" - dr AS r, "col" - dc AS q, k, m, sum(value * re) AS re, sum(-value * im) AS im FROM tiny, kern WHERE "row" - dr BETWEEN 0 AND 5 AND "col" - dc BETWEEN 0 AND 5 GROUP BY ALL),
+features AS (SELECT image_id * 36 + r * 6 + q AS p, k, m, re, im FROM y0), emb AS (SELECT label, i // 8 AS k, i % 8 AS m, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings, (SELECT unnest(range(0, 32)) AS i)),
+weights AS (SELECT CAST(label AS BIGINT) AS n, k, m, avg(re) AS re, avg(im) AS im FROM emb WHERE k < 2 AND m < 2 GROUP BY label, k, m)"""
+
+
+def _cells(rects):
+    import numpy as np
+
+    from tessella.operators import bands as B
+
+    index = sorted({(k, m) for k0, m0, ke, me in rects for k in range(k0, k0 + ke) for m in range(m0, m0 + me)})
+    dr, dc = np.indices((3, 3))
+    return B.Cells(tuple(index), np.stack([np.cos(0.7 * dr + k) + 1j * np.sin(0.3 * dc + m) for k, m in index]))
+
+
+class _TinyEngine:
+    """The stage work on embeddings as 8 x 8 images under 3 x 3 kernels; templates are the labels' means."""
+
+    def __init__(self, spark, sf):
+        from tessella.operators import bands as B
+        from tessella.operators.prepared import Optics
+
+        rows = I.image_rows(A.tiny_images(spark, sf), 8, 8).select("image_id", F.lit(8).alias("h"), F.lit(8).alias("w"), "data")
+        self.bands, self.weights, self.B = B.plane_bands(rows, None, Optics(), (3, 3), 4), A.weights(spark, sf), B
+
+    def maps(self, pixels, stage):
+        import numpy as np
+
+        cells = _cells(stage.rectangles)
+        block = C.weight_block(self.weights.where(C.in_rectangles(stage.rectangles)), *cells.extent)
+        stats = self.B.stage_stats(self.bands, pixels, cells, self.B.Block(np.arange(len(block)), block), stage.n_psi, 4, 16, 8, 4, None, (6, 6), (8, 8))
+        return self.B.merged_blocks(stats, len(block) * stage.n_psi).withColumn("best_index", c("best_virtual").cast("long"))
+
+
+def _tiny_positions(spark, sf):
+    at = F.explode(F.sequence(F.lit(0), F.lit(35))).alias("pixel_id")
+    return A.table(spark, sf, "embeddings").select(c("vec_id").alias("image_id"), at).select("image_id", c("pixel_id").cast("long").alias("pixel_id"), F.floor(c("pixel_id") / 6).cast("int").alias("row"), F.pmod("pixel_id", F.lit(6)).cast("int").alias("col"))
+
+
+@register("search_bands", sql(BANDED + ", " + search_sql(8), f"SELECT p // 36 AS image_id, p % 36 AS pixel_id, mip, best_virtual, best_psi, mean, variance, zscore FROM ({SEARCHED})", "image_id:l pixel_id:l mip:d best_virtual:l best_psi:l mean:d variance:d zscore:d"))
+def search_bands(spark, sf):
+    """One stage over all positions of all images, as the search program does it."""
+    out = _TinyEngine(spark, sf).maps(_tiny_positions(spark, sf), S.Stage(((0, 0, 2, 2),), 8)).withColumn("mip", F.round("mip", 6))
+    out = out.withColumn("zscore", (c("mip") - c("mean")) / F.greatest(F.sqrt("variance"), F.lit(1e-12)))
+    return tidy(out.select("image_id", "pixel_id", "mip", "best_virtual", "best_psi", "mean", "variance", "zscore"))
+
+
+def _zscores_sql(name: str, cells: str, n_psi: int) -> str:
+    """(p, z) of a stage over the cells of a condition, unrounded."""
+    angle = f"2 * pi() * k * psi / {n_psi}"
+    return f"""s_{name} AS (SELECT y.p, w.n, y.k, sum(y.re * w.re + y.im * w.im) AS cr, sum(y.im * w.re - y.re * w.im) AS ci FROM features y JOIN weights w ON y.k = w.k AND y.m = w.m AND {cells} GROUP BY y.p, w.n, y.k),
+c_{name} AS (SELECT p, n, psi, sum(CASE WHEN k = 0 THEN cr ELSE 2 * (cr * cos({angle}) - ci * sin({angle})) END) AS c FROM s_{name}, (SELECT unnest(range(0, {n_psi})) AS psi) GROUP BY p, n, psi),
+{name} AS (SELECT p, (max(c) - avg(c)) / greatest(sqrt(greatest(avg(c * c) - avg(c) * avg(c), 0)), 1e-12) AS z FROM c_{name} GROUP BY p)"""
+
+
+STAGED = f"""{BANDED}, {_zscores_sql('z1', 'y.m < 1', 4)}, {_zscores_sql('z2', 'y.m < 2', 8)},
+labels AS (SELECT z1.p, z1.z AS za, z2.z AS zb, CASE WHEN z1.z < 2.0 THEN 2 WHEN z2.z > 2.6 THEN 3 ELSE 1 END AS label FROM z1 JOIN z2 ON z1.p = z2.p)"""
+
+
+@register("search_stages", sql(STAGED, "SELECT p // 36 AS image_id, p % 36 AS pixel_id, label, CASE WHEN label = 2 THEN 0 ELSE 1 END AS last_stage, CASE WHEN label = 2 THEN za ELSE zb END AS zscore FROM labels", "image_id:l pixel_id:l label:l last_stage:l zscore:d", 4))
+def search_stages(spark, sf):
+    """Two stages over one ledger: few cells and angles reject, all cells accept among what is left."""
+    stages = [S.Stage(((0, 0, 2, 1),), 4, decision=S.Decision(2.0, accept=False)), S.Stage(((0, 0, 2, 2),), 8, decision=S.Decision(2.6, reject=False))]
+    cut = lambda df, name: df.persist()  # noqa: E731  a short lineage
+    led = S.Searcher(None, stages, 1, 10, None, cut, engine=_TinyEngine(spark, sf)).run(L.new_ledger(_tiny_positions(spark, sf)))
+    return tidy(led.select("image_id", "pixel_id", "label", "last_stage", "zscore"), 4)
