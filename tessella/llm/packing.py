@@ -7,8 +7,9 @@ is left: windows of nearly equal sums. Where its fullest window exceeds WINDOW,
 differencing runs again. A task packs its own documents, so nothing is shuffled; a task's last batch may be small.
 
 Tokens come from `tokenizers`. A text is cut into the vocabulary's pre-tokens with numpy, and each distinct one is
-encoded once while its ids stay in a bounded cache. Texts with characters outside the table of classes are encoded as
-they are. Null text is empty: a document then has the end token alone. Repeated rows are packed each; an empty table
+encoded once while its ids stay in a bounded cache, which a Python worker keeps from task to task; those not known yet are
+encoded as one text. Texts with characters outside the table of classes, or with one of the vocabulary's added tokens,
+are encoded as they are. Null text is empty: a document then has the end token alone. Repeated rows are packed each; an empty table
 gives an empty result.
 """
 
@@ -18,16 +19,16 @@ import heapq
 import os
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, pieces, span_hash, string_parts, texts
+from .common import batch, pieces, span_hash, string_parts
 
 WINDOW, CUT, BATCH, END = 1024, 256, 48, 0
-CACHE = 400_000  # pre-tokens
+CACHE, STORE = 21, 1 << 22  # bits of a pre-token's slot in the cache; ids kept
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = range(5)
 #: White_Space, a fixed value
@@ -75,35 +76,71 @@ def pretoken_starts(code: np.ndarray, cls: np.ndarray, edge: np.ndarray) -> np.n
 
 
 class Encoder:
-    """ids of texts, by ``tokenizers``, with a cache of pre-tokens."""
+    """ids of texts, by ``tokenizers``, with a cache of pre-tokens: a table in which a new one takes the slot of an old one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token, each of which is one character there
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.classes = classes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys = np.zeros(1 << CACHE, np.uint64)
+        self.first, self.size = np.zeros(1 << CACHE, np.int32), np.zeros(1 << CACHE, np.int32)
+        self.ids, self.used = np.zeros(STORE, np.uint32), 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            self.clear()
-        got = self.plain(texts)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        first = len(self.ids) + np.cumsum(size) - size
-        at = len(self.first) + np.arange(len(keys))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
-        order = np.argsort(merged := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.where = merged[order], np.concatenate([self.where, at])[order]
+    def store(self, ids: np.ndarray) -> int:
+        """Where ``ids`` stand from now on. A full store keeps what slots still name, or is doubled."""
+        if self.used + len(ids) > len(self.ids):
+            live = np.flatnonzero(self.size)
+            kept = taken(self.ids, self.first[live], self.size[live])
+            self.first[live] = np.cumsum(self.size[live], dtype=np.int64) - self.size[live]
+            room = len(self.ids)
+            while 2 * (len(kept) + len(ids)) > room:
+                room *= 2
+            self.ids, self.used = np.concatenate([kept, np.zeros(room - len(kept), np.uint32)]), len(kept)
+        at = self.used
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def learn(self, code: np.ndarray, cls: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each) of distinct pre-tokens of a piece.
+
+        All but runs of whitespace form one text: a pre-token that begins with a space stands for itself anywhere, others
+        follow a line feed, whose id is left out. Widths of the ids in bytes tell the pre-tokens apart.
+        """
+        size = np.zeros(len(start), np.int64)
+        blank = cls[end - 1] == _SPACE
+        j = np.flatnonzero(~blank)
+        parts: list[np.ndarray] = []
+        if len(j):
+            bare = code[start[j]] != 32
+            n = end[j] - start[j] + bare
+            one = taken(code, start[j] - bare, n)
+            one[np.cumsum(n)[bare] - n[bare]] = 10
+            ids = np.array(self.plain([one.tobytes().decode("utf-32-le")])[0], np.uint32)
+            wide = np.cumsum(1 + (one >= 0x80) + (one >= 0x800) + (one >= 0x10000))[np.cumsum(n) - 1]
+            stop = np.searchsorted(np.cumsum(self.width[ids]), wide) + 1
+            size[j] = np.diff(stop, prepend=0) - bare
+            keep = np.ones(len(ids), bool)
+            keep[np.append(0, stop[:-1])[bare]] = False
+            parts.append(ids[keep])
+        j = np.flatnonzero(blank)
+        if len(j):
+            got = self.plain([code[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[j], end[j], strict=True)])
+            size[j] = list(map(len, got))
+            parts.append(np.array([i for g in got for i in g], np.uint32))
+        first = np.empty(len(start), np.int64)
+        order = np.concatenate([np.flatnonzero(~blank), j])
+        first[order] = np.cumsum(size[order]) - size[order]
+        return taken(np.concatenate(parts), first, size), size
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a piece."""
@@ -116,26 +153,31 @@ class Encoder:
         edge = np.zeros(len(code) + 1, bool)
         edge[begins] = True
         odd = np.zeros(len(offsets) - 1, bool)
-        row_of = np.searchsorted(begins, np.flatnonzero(cls == _UNKNOWN), "right") - 1
-        odd[row_of] = True
+        odd[np.searchsorted(begins, np.flatnonzero(cls == _UNKNOWN), "right") - 1] = True
+        for word in self.added:
+            at = text.find(word)
+            while at >= 0:
+                odd[np.searchsorted(begins, at, "right") - 1] = True
+                at = text.find(word, at + 1)
         start = np.flatnonzero(pretoken_starts(code, cls, edge))
         end = np.append(start[1:], len(code))
         row = np.searchsorted(begins, start, "right") - 1
         ok = ~odd[row]
         start, end, row = start[ok], end[ok], row[ok]
         keys = span_hash(code.astype(np.uint64), start, end)
-        uniq, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.keys, uniq)
-        new = (where >= len(self.keys)) | (self.keys[np.minimum(where, max(len(self.keys) - 1, 0))] != uniq) if len(self.keys) else np.ones(len(uniq), bool)
-        if len(self.keys) + new.sum() > CACHE:
-            self.clear()
-            new[:] = True
-        if new.any():
-            self.learn(uniq[new], [text[start[i] : end[i]] for i in index[new]])
-        slot = self.where[np.searchsorted(self.keys, uniq)][inverse]
-        size, first = self.size[slot], self.first[slot]
+        slot = (keys >> np.uint64(64 - CACHE)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != keys)
+        if len(new):
+            uniq, index, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            ids, count = self.learn(code, cls, start[new[index]], end[new[index]])
+            place = self.store(ids) + np.cumsum(count) - count  # may move what slots name
+        first, size = self.first[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        if len(new):
+            first[new], size[new] = place[inverse], count[inverse]
+            at = slot[new[index]]
+            self.keys[at], self.first[at], self.size[at] = uniq, place, count
         stop = np.cumsum(size)
-        flat = self.ids[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        flat = taken(self.ids, first, size)
         cut = np.concatenate([[0], stop])[np.searchsorted(row, np.arange(len(offsets)))]
         out = [flat[cut[r] : cut[r + 1]] for r in range(len(offsets) - 1)]
         for r in np.flatnonzero(odd):
@@ -143,25 +185,54 @@ class Encoder:
         return out
 
 
+def taken(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first:first + size] of each, one after the other; a first of -1 stands for any value."""
+    stop = np.cumsum(size, dtype=np.int64)
+    return values[np.maximum(np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0), 0)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_at(path: str) -> Encoder:
+    """The encoder of a vocabulary file; a worker makes it once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
-    """Items of each of ``windows`` windows with nearly equal sums: Karmarkar and Karp's largest differencing."""
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i], *([] for _ in range(windows - 1))]))
+    """Items of each of ``windows`` windows with nearly equal sums: Karmarkar and Karp's largest differencing.
+
+    Sums are kept fullest first. A merge notes only where its slots came from; the items of a slot are found from the
+    last merge downwards.
+    """
+    if not sizes:
+        return []
+    first = np.zeros((len(sizes), windows), np.int64)
+    first[:, 0] = sizes
+    heap = [(-s, i, first[i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
+    merges: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, a, mine = heapq.heappop(heap)
-        _, _, b, theirs = heapq.heappop(heap)
-        sums = a + b[::-1]  # both are kept fullest first
-        order = np.argsort(-sums, kind="stable")
-        slots = [mine[j] + theirs[windows - 1 - j] for j in order]
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heap[0]
+        sums = a + b[::-1]
+        order = (-sums).argsort(kind="stable")
         sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), tie, sums, slots))
-        tie += 1
-    return heap[0][3] if heap else []
+        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), len(sizes) + len(merges), sums))
+        merges.append((i, j, order))
+    window_of = {heap[0][1]: np.arange(windows)}  # by partial partition: the window of each of its slots
+    for k in range(len(merges) - 1, -1, -1):
+        i, j, order = merges[k]
+        w = window_of.pop(len(sizes) + k)
+        mine, theirs = np.empty(windows, np.int64), np.empty(windows, np.int64)
+        mine[order], theirs[windows - 1 - order] = w, w
+        window_of[i], window_of[j] = mine, theirs
+    out: list[list[int]] = [[] for _ in range(windows)]
+    for i in range(len(sizes)):
+        out[window_of[i][0]].append(i)
+    return out
 
 
 def windows_of(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
@@ -178,11 +249,12 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 _SCHEMA = pa.schema([(f.split()[0], pa.int64()) for f in DDL.split(", ")])
 
 
-def _pack(make: Callable[[], Encoder], window: int, cut: int, group: int):
+def _pack(vocabulary: str | None, window: int, cut: int, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
         from pyspark import TaskContext
 
-        encoder, sequence = make(), TaskContext.get().partitionId() << 32
+        encoder, sequence = encoder_at(vocabulary or public_tokenizers.path("byte_bpe_50k.json")), TaskContext.get().partitionId() << 32
         done: list[tuple] = []
         rests: list[tuple] = []
         held = 0
@@ -231,13 +303,7 @@ def _pack(make: Callable[[], Encoder], window: int, cut: int, group: int):
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, cut: int = CUT, group: int = BATCH) -> DataFrame:
     """One row per piece. ``vocabulary`` is the path of a tokenizer file that the executors have."""
-
-    def make() -> Encoder:
-        import public_tokenizers
-
-        return Encoder(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-
-    return texts(docs).select("doc_id", "text").mapInArrow(_pack(make, window, cut, group), DDL)
+    return docs.select("doc_id", "text").mapInArrow(_pack(vocabulary, window, cut, group), DDL)
 
 
 def op8_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
