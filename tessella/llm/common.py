@@ -9,10 +9,10 @@ that, its number of words), never the partition.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +30,57 @@ _BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is set only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(where)
+    """The folder all executors share: that of ``spark.checkpoint.dir``, or else one in the session's warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
     return where.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of one job."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Python workers get at most ROWS rows at a time, and the job's shuffle files go when it ends. Joins of shuffled sides
+    are not turned into broadcasts: executors would hold each of them until the driver happens to collect its garbage.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    free(df.sparkSession)
-    df.write.parquet(path)
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps: it does so when the driver has collected what named them."""
+    """Let Spark drop the broadcasts of finished steps, each stage's code among them, from the executors' memory.
+
+    It does so when the driver has collected what named them, which a driver with room to spare may not do for hours.
+    Called once a round of an operator that runs many jobs, not for each of them.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
-    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def texts(docs: DataFrame) -> DataFrame:
-    """``docs``, whose texts then go to Python in batches of at most ROWS rows."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    return docs
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def doc_key(docs: DataFrame, *keep: str) -> DataFrame:
@@ -73,7 +88,7 @@ def doc_key(docs: DataFrame, *keep: str) -> DataFrame:
 
     Rows that repeat both the id and the text share their key, so what is found for one of them holds for each.
     """
-    return texts(docs).select(*(v.alias(k) for k, v in key_columns().items()), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    return docs.select(*(v.alias(k) for k, v in key_columns().items()), F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
 def key_columns() -> dict[str, Column]:
@@ -215,8 +230,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-
-
 BLOOM = 1 << 25  # bits
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, texts
+from .common import batch
 
 # fixed values
 BASE = (
@@ -117,8 +118,9 @@ def scanned(s: str) -> list[tuple[int, int]]:
 
 
 def outside(lo: int, hi: int, holes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of lo..hi between ``holes``, which are in order and do not overlap."""
     out = []
-    for a, b in holes:
+    for a, b in holes[max(0, bisect_left(holes, (lo, lo)) - 1) : bisect_left(holes, (hi, hi))]:
         if a < hi and lo < b:
             out.append((lo, a))
             lo = b
@@ -132,7 +134,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
         for m in cls.chars.finditer(text):
             if any(p.fullmatch(m[0]) for p in ALLOW):
                 continue
-            within = [h for h in hexes if m.start() <= h[0] < m.end()] if hexes else []
+            within = hexes[bisect_left(hexes, (m.start(), 0)) : bisect_left(hexes, (m.end(), 0))]
             found: list[list[int]] = []
             for a, b in scanned(m[0]):
                 if (a, b) != (0, len(m[0])) and any(p.fullmatch(m[0][a:b].strip("/_+-")) for p in ALLOW):
@@ -177,7 +179,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with its secrets; one pass, no shuffle."""
-    return texts(docs).select("doc_id", "text").mapInArrow(scan_batches, DDL)
+    return docs.select("doc_id", "text").mapInArrow(scan_batches, DDL)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,33 @@
-"""N-gram Jaccard join with set relations: exact links of distinct shingle sets, and their components.
-
-A document's set is its distinct shingles of a ``Law``'s number of words, 4 unless another is given. Documents of equal sets form a class and are joined once. Of each
-set, in a global order from rare to frequent, the prefix that any partner must meet is indexed. The order rests on a
-sketch of all shingles' counts, of fixed size: a poor estimate costs time, never a link.
-
-Set relations save work twice.
-
-* Index lists are kept in blocks by size, not by position, which is tested on the pairs that have met: a probe opens the
-  two blocks that can hold partners, and of an entry at position j of y, met at position i of x, no more than min(i, j) + 1 + min(rest) shingles
-  can be common.
-* Components are derived from a similar set's; links are not returned. In each of ROUNDS rounds a set is compared with HEADS others only,
-  the heads of the lists that it shares most of. A verified link gives it the head's component; pairs
-  within a component are never formed again. What is left then, pairs of one list in different components, is compared
-  in full, so that the number of rounds decides on time and not on results.
-
-Pairs pass a parity bitmap (its Hamming distance bounds the symmetric difference from below) before sets are fetched
-and compared. Components are found by minimum labels and pointer jumping over written tables.
-
-Null text, or text without words, has an empty set: n_shingles 0 and a component of its own. Fewer than four words are
-one shingle (fewer than the law's words, with another). Rows that repeat an id are documents each; a null id gives a class no name, and a component of such rows
-only has a null one. An empty table gives an empty result.
+"""N-gram Jaccard join with set relations: the components of all exact links of distinct shingle sets.
+
+A document's set is its distinct shingles of a ``Law``'s number of words, 4 unless another is given. Documents of equal
+sets form a class and are joined once. Of each set, in a global order from rare to frequent, the prefix that any partner
+must meet is indexed. The order rests on a sketch of all shingles' counts, of fixed size: a poor estimate costs time,
+never a link. Members whose index lists hold the same sets are one list, in which a set stands at the first of its
+positions: a passage that only two sets share gives one list, not one for each shingle.
+
+Index lists are skipped by position. A pair is formed where its first common member stands: at position i of a set of n,
+at most n - i members can be common. That bounds the partner's size from above on either side, so each entry, by its
+size and position, is dealt to the blocks (list, size block of the larger set, size block of the smaller set) that it
+can still reach, and a pair meets in the one block that both have opened.
+
+Answers are derived from those of similar sets, twice.
+
+* In each of at most ROUNDS rounds a set is compared with HEADS others only, the heads of the lists that it shares most
+  of. A verified link gives it the head's component; pairs within a component are never formed again. The rounds end
+  early when one links nothing. What is left then, pairs of one list in different components, is compared in full, so
+  that the number of rounds decides on time and not on results.
+* The distance (size of the symmetric difference) to the first head, exact where it was compared and bounded by bitmaps
+  else, is kept. Sets of one head whose distances to it are further apart than a link allows are not formed as a pair:
+  the head's answers refute them by the triangle inequality.
+
+Pairs also pass parity bitmaps (their Hamming distance bounds the symmetric difference from below) before sets are
+fetched and compared. Components are found by minimum labels and pointer jumping over written tables, each deleted when
+its successor stands. Links are not returned, since pairs within a component are not formed.
+
+Null text, or text without words, has an empty set: n_shingles 0 and a component of its own. Fewer words than a shingle
+has are one shingle. Rows that repeat an id are documents each; a null id gives a class no name, and a component of such
+rows only has a null one. An empty table gives an empty result. Sets and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,9 +43,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, batch, bloom_of, discard, doc_key, in_bloom, materialise, mix, signed, span_hash, texts, words_of
+from .common import SPACED, Words, batch, bloom_of, discard, doc_key, free, in_bloom, materialise, mix, signed, span_hash, words_of
 
-ROUNDS, HEADS = 2, 4
+ROUNDS, HEADS, SEATS = 3, 4, 4
+QUICK = 16  # longs of the bitmap that a join's condition compares
 SKETCH = 1 << 20  # counters
 BLOCK = 1 << 16
 
@@ -58,9 +67,21 @@ class Law:
         """How many of a set's members, from rare to frequent, any partner must meet."""
         return size - (self.num * size + self.den - 1) // self.den + 1
 
-    def size_block(self, n: Column) -> Column:
-        """Partners' sizes differ by at most a factor den / num, so their blocks by at most one."""
-        return F.floor(F.log(n.cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
+    def need(self, total: Column) -> Column:
+        """``at_least`` of a column."""
+        return F.floor((total.cast("long") * self.num + self.num + self.den - 1) / (self.num + self.den))
+
+    def smallest(self, n: Column) -> Column:
+        """The size of a set's smallest possible partner."""
+        return F.ceil(n.cast("long") * self.num / self.den)
+
+    def reach(self, n: Column, pos: Column) -> Column:
+        """The size of the largest partner that allows a link whose first common member stands at ``pos``."""
+        return F.floor((n - pos).cast("long") * (self.num + self.den) / self.num) - n
+
+    def block(self, n: Column, fine: int = 1) -> Column:
+        """Partners' sizes differ by at most a factor den / num, so their blocks by at most ``fine``."""
+        return F.floor(F.log(n.cast("double")) * fine / math.log(self.den / self.num) + 1e-9).cast("int")
 
     def can_link(self, n: Column, m: Column) -> Column:
         return (F.least(n, m).cast("long") * self.den) >= (F.greatest(n, m).cast("long") * self.num)
@@ -91,9 +112,10 @@ def bitmap(h: np.ndarray) -> bytes:
 
 
 def quick(row: np.ndarray, h: np.ndarray, rows: int) -> list[np.ndarray]:
-    """The parity of 256 cells of each row as four longs, which a join's condition can compare."""
-    odd = np.bincount(row * 256 + ((h >> np.uint64(16)) & np.uint64(255)).astype(np.int64), minlength=rows * 256) & 1
-    return list(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(rows, 4))
+    """The parity of 64 * QUICK cells of each row as longs, which a join's condition can compare."""
+    cells = 64 * QUICK
+    odd = np.bincount(row * cells + ((h >> np.uint64(16)) & np.uint64(cells - 1)).astype(np.int64), minlength=rows * cells) & 1
+    return list(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(rows, QUICK))
 
 
 def apart(a: bytes, b: bytes) -> int:
@@ -175,14 +197,16 @@ def _index(levels, law: Law):
     return run
 
 
+_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("first", pa.bool_()), ("apart", pa.int32()), ("near", pa.bool_())])
+
+
 def _near(law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose bitmaps allow a link."""
+        """How far apart pairs are at least, by their bitmaps, and whether that allows a link."""
         for b in batches:
             na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-            most = (na + nb - 2 * law.at_least(na + nb)).tolist()
-            ok = [apart(x, y) <= d for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
-            yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+            least = np.fromiter((apart(x, y) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)), np.int64, b.num_rows)
+            yield batch(_NEAR, a=b.column(0), b=b.column(1), na=b.column(2), nb=b.column(3), first=b.column(4), apart=least, near=least <= na + nb - 2 * law.at_least(na + nb))
 
     return run
 
@@ -203,90 +227,165 @@ def _fetch(bloom, law: Law):
     return run
 
 
+_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("first", pa.bool_()), ("differ", pa.int32()), ("linked", pa.bool_())])
+
+
 def _compare(law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            differ, linked = [], []
+            for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                ok.append(common >= law.at_least(len(p) + len(q)))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                common, total = int((q[np.minimum(at, len(q) - 1)] == p).sum()), len(p) + len(q)
+                differ.append(total - 2 * common)
+                linked.append(common >= law.at_least(total))
+            yield batch(_COMPARED, a=b.column(0), b=b.column(1), first=b.column(2), differ=differ, linked=linked)
 
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, law: Law) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, na, nb), classes, whose sets are linked."""
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, law: Law) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs`` (a, b, na, nb, first), classes: the exact (differ, linked) of those that bitmaps allow, and all with
+    their lower bound ``apart``. Both are written tables."""
     of = lambda x: classes.select(F.col("cls").alias(x), F.col("bits").alias(f"{x}_bits"))
-    near = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "a_bits", "b_bits").mapInArrow(_near(law), "a long, b long, na int, nb int"), "near")
+    bounded = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "first", "a_bits", "b_bits").mapInArrow(_near(law), "a long, b long, na int, nb int, first boolean, apart int, near boolean"), "near")
+    near = bounded.where("near")
     need = materialise(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().join(classes.select("cls", "src.k1", "src.k2"), "cls"), "need")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(need.select("k2")))
     members = materialise(doc_key(docs).mapInArrow(_fetch(bloom, law), MEMBERS).join(need, ["k1", "k2"]).groupBy("cls").agg(F.first("members").alias("members")), "members")
     got = lambda x: members.select(F.col("cls").alias(x), F.col("members").alias(f"{x}_members"))
-    return near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "a_members", "b_members").mapInArrow(_compare(law), "a long, b long")
+    out = materialise(near.join(got("a"), "a").join(got("b"), "b").select("a", "b", "first", "a_members", "b_members").mapInArrow(_compare(law), "a long, b long, first boolean, differ int, linked boolean"), "compared")
+    discard(need, members)
+    bloom.destroy()
+    return out, bounded
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of the edges (a, b) reaches; minimum labels and pointer jumping."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    while True:
-        labels = materialise(labels, "labels")
+    step = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumn("moved", F.lit(True)), "step")
+    while not step.where("moved").isEmpty():
+        labels = step.select("v", "comp")
         of = labels.select(F.col("v").alias("b"), F.col("comp").alias("theirs"))
         best = both.join(of, "b").groupBy(F.col("a").alias("v")).agg(F.min("theirs").alias("best"))
         lower = labels.join(best, "v").select("v", "comp", F.least("comp", "best").alias("low"))
         # the label of the own label, and what was found for it
         at = lower.select(F.col("v").alias("low"), F.col("low").alias("jump"))
-        step = materialise(lower.join(at, "low", "left").select("v", F.least("low", F.coalesce("jump", "low")).alias("comp"), (F.least("low", F.coalesce("jump", "low")) < F.col("comp")).alias("moved")), "step")
-        labels = step.select("v", "comp")
-        if step.where("moved").isEmpty():
-            return labels
+        now = F.least("low", F.coalesce("jump", "low"))
+        before, step = step, materialise(lower.join(at, "low", "left").select("v", now.alias("comp"), (now < F.col("comp")).alias("moved")), "step")
+        discard(before)
+    discard(both)
+    return step
 
 
-def undecided(entries: DataFrame, labels: DataFrame, law: Law) -> DataFrame:
-    """(token, block, cls, n, pos, comp) of the lists that still hold sets of several components."""
-    known = entries.join(labels, "cls").select("token", law.size_block(F.col("n")).alias("block"), "cls", "n", "pos", "comp")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return known.join(mixed, "token")
+def undecided(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, cls, n, pos, w, comp) of the lists that still hold sets of several components."""
+    known = entries.join(labels, "cls").select("list", "cls", "n", "pos", "w", "comp")
+    mixed = known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    return known.join(mixed, "list")
 
 
 def candidates(entries: DataFrame, turn: int, law: Law) -> DataFrame:
-    """(a, b, na, nb): for each set up to HEADS heads, of other components, of most of its lists. First the smallest set
-    of a list is its head; in later turns the lists of a set have several heads, by hash."""
+    """(a, b, na, nb, first): for each set up to HEADS heads, of other components, of most of its lists; the first of
+    them is marked. At first the smallest set of a list is its head; in later turns a list has SEATS heads, by hash."""
     c = F.col
-    order = F.lit(0).cast("long") if turn == 0 else F.xxhash64("cls", F.pmod("token", F.lit(8)), F.lit(turn))
-    heads = entries.groupBy("token", "block").agg(F.min(F.struct(order.alias("o"), c("cls").alias("cls"), c("n").alias("n"), c("comp").alias("comp"))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "block", "head")
-    votes = entries.join(heads, ["token", "block"]).where((c("comp") != c("head.comp")) & law.can_link(c("n"), c("head.n")))
-    votes = votes.groupBy(c("cls").alias("b"), c("n").alias("nb"), c("head.cls").alias("a"), c("head.n").alias("na")).count()
-    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
-    return votes.withColumn("i", rank).where(F.col("i") <= HEADS).select("a", "b", "na", "nb")
+    entries = entries.withColumn("block", law.block(c("n")))
+    order = [F.lit(0).cast("long")] if turn == 0 else [F.xxhash64("cls", F.pmod("list", F.lit(8)), F.lit(turn * SEATS + s)) for s in range(SEATS)]
+    seats = [F.min(F.struct(o.alias("o"), c("cls").alias("cls"), c("n").alias("n"), c("comp").alias("comp"))).alias(f"seat{i}") for i, o in enumerate(order)]
+    heads = entries.groupBy("list", "block").agg(*seats, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    heads = heads.select("list", "block", F.explode(F.array_distinct(F.array(*(F.struct(f"seat{i}.cls", f"seat{i}.n", f"seat{i}.comp") for i in range(len(order)))))).alias("head"))
+    votes = entries.join(heads, ["list", "block"]).where((c("comp") != c("head.comp")) & law.can_link(c("n"), c("head.n")))
+    votes = votes.groupBy(c("cls").alias("b"), c("n").alias("nb"), c("head.cls").alias("a"), c("head.n").alias("na")).agg(F.sum("w").alias("votes"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
+    return votes.withColumn("i", rank).where(F.col("i") <= HEADS).select("a", "b", "na", "nb", (F.col("i") == 1).alias("first"))
+
+
+def answers_of(verified: DataFrame, bounded: DataFrame) -> DataFrame:
+    """(cls, head, near, far): how far each set is from its first head at least and at most; the head is its own."""
+    c = F.col
+    own = bounded.where("first").select("a", "b", "na", "nb", "apart").join(verified.where("first").select("a", "b", "differ"), ["a", "b"], "left")
+    asked = own.select(c("b").alias("cls"), c("a").alias("head"), F.coalesce("differ", "apart").alias("near"), F.coalesce(c("differ"), c("na") + c("nb")).alias("far"))
+    zero = F.lit(0)
+    both = asked.select("*", F.lit(1).alias("of")).union(bounded.select("a", "a", zero, zero, zero).distinct())
+    best = F.min(F.struct("of", "head", "near", "far")).alias("x")  # a set that is a head itself answers for itself
+    return both.groupBy("cls").agg(best).select("cls", "x.head", "x.near", "x.far")
 
 
-def remaining(entries: DataFrame, classes: DataFrame, law: Law) -> DataFrame:
-    """(a, b, na, nb): all pairs of one list in different components that sizes, positions and a short bitmap allow,
-    block by block."""
+def remaining(entries: DataFrame, classes: DataFrame, answers: DataFrame, law: Law) -> DataFrame:
+    """(a, b, na, nb, first): all pairs of one list in different components that sizes, positions, answers of a common
+    head and a bitmap allow. They meet in the blocks that both can reach from where they stand."""
     c = F.col
-    entries = entries.join(classes.select("cls", *(F.get("quick", i).alias(f"q{i}") for i in range(4))), "cls")
-    x = entries.select("token", "block", *(c(k).alias(f"x_{k}") for k in ("cls", "n", "pos", "comp", "q0", "q1", "q2", "q3")))
-    y = entries.select("token", F.explode(F.array(c("block"), c("block") - 1)).alias("block"), *(c(k).alias(f"y_{k}") for k in ("cls", "n", "pos", "comp", "q0", "q1", "q2", "q3")))
-    common = F.least("x_pos", "y_pos") + F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos"))
-    met = x.join(y, ["token", "block"]).where((c("x_comp") != c("y_comp")) & ((c("x_n") < c("y_n")) | ((c("x_n") == c("y_n")) & (c("x_cls") < c("y_cls")))))
-    met = met.where(law.can_link(c("x_n"), c("y_n")) & (common.cast("long") * (law.num + law.den) >= (c("x_n") + c("y_n")).cast("long") * law.num))
-    differ = sum((F.bit_count(c(f"x_q{i}").bitwiseXOR(c(f"y_q{i}"))) for i in range(1, 4)), start=F.bit_count(c("x_q0").bitwiseXOR(c("y_q0"))))
-    total = (c("x_n") + c("y_n")).cast("long")
-    need = F.floor((total * law.num + law.num + law.den - 1) / (law.num + law.den))
-    met = met.where(differ <= total - 2 * need)
-    return met.select(c("x_cls").alias("a"), c("y_cls").alias("b"), c("x_n").alias("na"), c("y_n").alias("nb")).distinct()
+    quick = [f"q{i}" for i in range(QUICK)]
+    entries = entries.join(classes.select("cls", *(F.get("quick", i).alias(q) for i, q in enumerate(quick))), "cls").join(answers, "cls", "left")
+    keep = ("cls", "n", "pos", "comp", "head", "near", "far", *quick)
+    n, reach, lowest = c("n"), law.reach(c("n"), c("pos")), law.smallest(c("n"))
+    side = lambda x: [c(k).alias(f"{x}_{k}") for k in keep]
+    small = entries.where(reach >= n).select("list", F.explode(F.sequence(law.block(n, 2), law.block(reach, 2))).alias("big"), law.block(n, 2).alias("little"), *side("x"))
+    large = entries.where(reach >= lowest).select("list", law.block(n, 2).alias("big"), F.explode(F.sequence(law.block(lowest, 2), law.block(F.least(n, reach), 2))).alias("little"), *side("y"))
+    total = c("x_n") + c("y_n")
+    need = law.need(total)
+    most = total - 2 * need
+    met = large.join(small, ["list", "big", "little"]).where((c("x_comp") != c("y_comp")) & ((c("x_n") < c("y_n")) | ((c("x_n") == c("y_n")) & (c("x_cls") < c("y_cls")))))
+    met = met.where(law.can_link(c("x_n"), c("y_n")) & (F.least(c("x_n") - c("x_pos"), c("y_n") - c("y_pos")) >= need))
+    refuted = (c("x_head") == c("y_head")) & ((c("x_near") - c("y_far") > most) | (c("y_near") - c("x_far") > most))
+    met = met.where(~F.coalesce(refuted, F.lit(False)))
+    met = met.where(sum((F.bit_count(c(f"x_{q}").bitwiseXOR(c(f"y_{q}"))) for q in quick[1:]), start=F.bit_count(c("x_q0").bitwiseXOR(c("y_q0")))) <= most)
+    return met.select(c("x_cls").alias("a"), c("y_cls").alias("b"), c("x_n").alias("na"), c("y_n").alias("nb"), F.lit(False).alias("first")).distinct()
 
 
 def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cls, comp) after the links (a, b) of sets have joined their components."""
+    """(cls, comp), written, after the links (a, b) of sets have joined their components."""
     of = lambda x: labels.select(F.col("cls").alias(x), F.col("comp").alias(f"{x}_comp"))
     between = edges.join(of("a"), "a").join(of("b"), "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
-    up = components(between).select(F.col("v").alias("comp"), F.col("comp").alias("low"))
-    return labels.join(up, "comp", "left").select("cls", F.coalesce("low", "comp").alias("comp"))
+    found = components(between)
+    up = found.select(F.col("v").alias("comp"), F.col("comp").alias("low"))
+    out = materialise(labels.join(up, "comp", "left").select("cls", F.coalesce("low", "comp").alias("comp")), "labels")
+    discard(found)
+    return out
+
+
+def index_lists(docs: DataFrame, described: DataFrame, law: Law) -> DataFrame:
+    """(list, cls, n, pos, w): the lists that hold several sets, those of the same sets as one; w counts them."""
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(described))
+    entries = materialise(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels, law), ENTRIES), "entries")
+    h = F.xxhash64("cls")
+    # copies of a set add the same to each of its lists; sums of 24 bits each do not overflow. Lists that agree by chance would
+    # only give more pairs to compare
+    parts = [F.sum(F.shiftrightunsigned(h, by).bitwiseAND(F.lit((1 << 24) - 1))).alias(f"s{by}") for by in (0, 24)]
+    # a written table meets the entries in a join whose two sides are dealt out anew, which Spark can split at hot tokens
+    lists = materialise(entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), *parts).where("lo <> hi").select("token", F.xxhash64("lo", "hi", "s0", "s24").alias("list")), "lists")
+    shared = materialise(entries.join(lists, "token").groupBy("list", "cls").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.count("*").alias("w")), "shared")
+    discard(entries, lists)
+    levels.destroy()
+    return shared
+
+
+def linked_classes(docs: DataFrame, described: DataFrame, classes: DataFrame, law: Law) -> DataFrame:
+    """(cls, comp), written, of every class that shares a list with another."""
+    shared = index_lists(docs, described, law)
+    free(docs.sparkSession)
+    labels = materialise(shared.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
+    answers, left = None, materialise(shared.withColumn("comp", F.col("cls")), "undecided")
+    for turn in range(ROUNDS):
+        verified, bounded = compared(docs, classes, candidates(left, turn, law), law)
+        if answers is None:
+            answers = materialise(answers_of(verified, bounded), "answers")
+        new = verified.where("linked")
+        done = new.isEmpty()
+        if not done:
+            old, labels = (labels, left), joined_labels(labels, new)
+            left = materialise(undecided(left.drop("comp"), labels), "undecided")
+            discard(*old)
+        discard(verified, bounded)
+        free(docs.sparkSession)
+        if done:
+            break
+    pairs = materialise(remaining(left, classes, answers, law), "pairs")
+    verified, bounded = compared(docs, classes, pairs, law)
+    out = joined_labels(labels, verified.where("linked"))
+    discard(shared, labels, left, answers, pairs, verified, bounded)
+    return out
 
 
 def members(docs: DataFrame, law: Law = Law()) -> DataFrame:
@@ -295,31 +394,14 @@ def members(docs: DataFrame, law: Law = Law()) -> DataFrame:
     Of a component the rows of one key stay: of the smallest id, then of the smallest key; rows without an id come
     last. A document without shingles stays.
     """
-    spark = docs.sparkSession
     described = materialise(doc_key(docs, "doc_id").select("k1", "k2", "doc_id", "text").mapInArrow(_describe(law), SETS), "sets")
     rows = described.where("block is null")
     classes = materialise(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quick").alias("quick"), F.min(F.struct("k1", "k2")).alias("src"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "k1", "k2")).alias("least")), "classes")
-    levels = spark.sparkContext.broadcast(frequency_levels(described))
-    entries = materialise(texts(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_index(levels, law), ENTRIES), "entries")
-    # a written table meets the entries in a join whose two sides are dealt out anew, which Spark can split at hot tokens
-    lists = materialise(entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token"), "lists")
-    shared = materialise(entries.join(lists, "token").distinct(), "shared")
-    discard(entries)
-
-    labels = materialise(shared.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
-    left = shared
-    for turn in range(ROUNDS):
-        left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels, law), "undecided")
-        new = materialise(links(docs, classes, candidates(left, turn, law), law), "links")
-        if new.isEmpty():
-            break
-        labels = materialise(joined_labels(labels, new), "labels")
-    left = materialise(undecided(left.select("token", "cls", "n", "pos"), labels, law), "undecided")
-    labels = materialise(joined_labels(labels, materialise(links(docs, classes, remaining(left, classes, law), law), "links")), "labels")
-
+    labels = linked_classes(docs, described, classes, law)
     comp = materialise(classes.select("cls", "least").join(labels, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "components")
     least = comp.groupBy("comp").agg(F.min("least").alias("least"))
     named = materialise(comp.select("cls", "comp").join(least, "comp").select("cls", F.when(~F.col("least.nameless"), F.col("least.k1")).alias("component_id"), F.col("least.k1").alias("least_1"), F.col("least.k2").alias("least_2")), "named")
+    discard(classes, labels, comp)
     some = F.col("n") > 0
     stays = ~some | ((F.col("k1") == F.col("least_1")) & (F.col("k2") == F.col("least_2")))
     return rows.join(named, "cls", "left").select("k1", "k2", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
