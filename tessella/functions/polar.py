@@ -165,7 +165,7 @@ class PolarGrid:
     def pad_radial(self, polar: np.ndarray, outer: int = 10) -> tuple[np.ndarray, int]:
         """(angle, radius) continued inwards through the origin and mirrored outwards; and the rows put in front."""
         op, _ = self.continuation()
-        tail = polar[:, -2 : -outer - 2 : -1] if polar.shape[1] > outer + 1 else polar[:, ::-1]
+        tail = polar[:, -2 : -outer - 2 : -1]
         if not len(op):
             return np.concatenate([polar, tail], 1), 0
         front = np.fft.irfft(np.einsum("ijk,kj->ki", op, np.fft.rfft(polar, axis=0)), n=self.num_angle, axis=0)
@@ -246,7 +246,7 @@ class ArrayGrid:
         return self.pixel_at[0][at], self.pixel_at[1][at]
 
     def pad_radial(self, polar: np.ndarray, outer: int = 10) -> tuple[np.ndarray, int]:
-        tail = polar[:, -2 : -outer - 2 : -1] if polar.shape[1] > outer + 1 else polar[:, ::-1]
+        tail = polar[:, -2 : -outer - 2 : -1]
         return np.concatenate([polar, tail], 1), 0
 
 

@@ -214,7 +214,8 @@ def particle_table(maps: DataFrame, picked: DataFrame, box: tuple[int, int], pix
     before = sizes.select("image_id", (F.sum("count").over(Window.orderBy("image_id")) - F.col("count")).alias("before"))  # a row an image
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("image_id").orderBy("pixel_id")) - 1).join(before, "image_id")
     index = F.col("before") + F.col("i")
-    more = [F.lit(v).alias(k) for k, v in (optics or {}).items()]
+    taken = {"label", "score", "stage", "mip", "psi", "theta", "phi", "image_id"}
+    more = [F.lit(v).alias(f"optics_{k}" if k in taken else k) for k, v in (optics or {}).items()]
     if micrographs:
         per_image = F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["defocus_u"])))), F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["defocus_v"])))), F.create_map(*(F.lit(v) for k, m in micrographs.items() for v in (k, float(m["astigmatism_angle"]))))
         more += [F.try_element_at(m, F.col("image_id").cast("string")).alias(c) for m, c in zip(per_image, ("defocus_u", "defocus_v", "astigmatism_angle"), strict=True)]

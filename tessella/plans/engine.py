@@ -108,8 +108,8 @@ class Engine:
 
     def seeded(self, pixels: DataFrame) -> DataFrame:
         """``pixels`` with the cell of their best orientation; one that was never searched fails the query."""
-        set_ = F.assert_true(F.col("best_index").isNotNull(), F.lit("a pixel of a local stage has no seed"))
-        seed = pixels.where(set_.isNull()).withColumn("orientation", F.pmod("best_index", F.lit(self.n_orientations)))
+        missing = F.raise_error(F.lit("a pixel of a local stage has no seed")).cast("long")
+        seed = pixels.withColumn("orientation", F.when(F.col("best_index").isNull(), missing).otherwise(F.pmod("best_index", F.lit(self.n_orientations))))
         cell = self.orientations.select("orientation", F.floor(F.col("ipix") / 4**self.base).cast("long").alias("cell"))
         return seed.join(cell, "orientation")
 
