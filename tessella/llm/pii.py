@@ -1,21 +1,26 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs the labelers, a classifier decides.
 
-1. One pass over whole texts finds the base spans (fixed patterns, always kept) and further candidates: number and
-   name forms that the patterns refuse or do not cover. Each candidate carries the votes of regex, gazetteer and
-   context labelers (1 for, 0 against, -1 silent) and a vector of discrete shape features.
+1. One pass over whole texts finds the candidates: the base spans (fixed patterns) and number, address and name forms
+   that the patterns refuse or do not cover. Each carries the votes of six labelers (1 for, 0 against, -1 silent): a strict
+   form and a checksum (regexes), a gazetteer of issuers, country codes, top-level domains or given names, words near it
+   that speak for and against it, and what it is embedded in. It also carries a vector of discrete shape features.
 2. Candidates are counted by (kind, votes, features), an aggregate over all documents with a bounded number of groups.
-   EM over it estimates each labeler's hit and false-alarm rate and the share of true spans of each kind.
+   EM over all kinds of a family, base spans and refused ones together, estimates each labeler's hit and false-alarm rate
+   and the share of true spans, so that a labeler counts as much as it agrees with the others.
 3. A logistic span classifier is trained in numpy on the groups, weighted by count, against the posteriors.
-4. Candidates that the classifier accepts join the base spans. ``redact`` replaces them in the text.
+4. Base spans stay whatever it says; of the further candidates those that it accepts join them. Luhn's digit and the
+   words near a span are among the features, so a run of digits that fails needs support from its context. ``redact``
+   replaces the spans in the text.
 
 Null text is empty. Every input row gives one row; repeated rows are each answered; an empty table gives an empty
-result. Spans are code points, end exclusive.
+result. Spans are code points, end exclusive. Time is linear in a text but for sorting its candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, texts
+from .common import batch, materialise
 
 # fixed values
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -33,29 +38,49 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("weak_id", "weak_phone", "weak_card", "weak_name")
+EXTRA = ("weak_id", "weak_phone", "weak_card", "weak_name", "weak_ip", "weak_email")
 ORDER = {k: i for i, k in enumerate((*BASE, *EXTRA))}
+_HONORIFIC = r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z]"
 GATES = {
     "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]",
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9]){13}",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "weak": r"[0-9]{3}[ .-][0-9]{2,4}[ .-][0-9]{4}|\([0-9]{3}\) ?[0-9]{3}|\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z]",
+    "weak": r"[0-9]{3}[ .-][0-9]{2,4}[ .-][0-9]{4}|\([0-9]{3}\) ?[0-9]{3}|[(\[]at[)\]]|" + _HONORIFIC,
 }
 GIVEN = frozenset("james john robert michael david mary linda anna peter paul marie julia hans maria jose juan luis carlos pierre jean claire sophie thomas daniel laura".split())
-CONTEXT = {
-    "weak_id": re.compile(r"(?i)\b(?:ssn|social security|passport|national id|id no|ausweis|dni|nif)\b"),
-    "weak_phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|appeler|llamar)\b"),
-    "weak_card": re.compile(r"(?i)\b(?:card|visa|mastercard|credit|iban|karte|carte|tarjeta)\b"),
-    "weak_name": re.compile(r"(?i)\b(?:name|signed|contact|dear|sincerely|born|patient|customer)\b"),
+TLDS = frozenset("com org net edu gov info io co uk de fr es it nl eu us ca ch at be jp".split())
+COUNTRY = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "353", "351", "420", "971", "972")
+ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[4-9]|6[0245]|35")
+FOR = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|courriel|correo|kontakt|from|to)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|host|address|server|login|client|adresse)\b"),
+    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|credit|iban|karte|carte|tarjeta|paid)\b"),
+    "phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|appeler|llamar)\b"),
+    "id": re.compile(r"(?i)\b(?:ssn|social security|passport|national id|id no|ausweis|dni|nif)\b"),
+    "name": re.compile(r"(?i)\b(?:name|signed|contact|dear|sincerely|born|patient|customer)\b"),
+}
+AGAINST = re.compile(r"(?i)\b(?:order|invoice|page|isbn|version|release|sku|total|figure|table|article|section)\b")
+FORM = {
+    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "ip": re.compile(r"(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
+    "card": re.compile(r"[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}"),
+    "phone": re.compile(r"\+?[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}"),
+    "id": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "name": re.compile(r"[A-Za-z]+\.? [A-Z][a-z]+ [A-Z][a-z]+"),
 }
-AGAINST = re.compile(r"(?i)\b(?:order|invoice|page|isbn|version|sku|total|figure|table|article)\b")
 CANDIDATES = {
     "weak_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "weak_phone": re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"),
-    "weak_name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?"),
+    "weak_name": re.compile(_HONORIFIC + r"[a-z]+(?: [A-Z][a-z]+)?"),
+    "weak_email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,64}|\.[A-Za-z0-9-]{1,64})+"),
 }
-LABELERS, FEATURES = ("regex", "gazetteer", "context", "against"), 8
+LABELERS, FEATURES = ("form", "checksum", "gazetteer", "context", "against", "embedded"), 8
+
+
+def family(kind: str) -> str:
+    """What a kind is a form of; EM and classifier take a family's kinds together."""
+    return kind.removeprefix("weak_")
 
 
 def luhn(digits: str) -> bool:
@@ -87,53 +112,74 @@ def digits(s: str) -> str:
     return "".join(ch for ch in s if "0" <= ch <= "9")
 
 
-def base_spans(text: str, kinds=BASE) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, card-like runs that fail)."""
+Span = tuple[int, int, str]
+
+
+def base_spans(text: str, kinds=BASE) -> tuple[list[Span], list[Span]]:
+    """(base spans, runs of digits that fail as cards or addresses)."""
     out, failed = [], []
     if "email" in kinds:
         out += [(a, b, "email") for a, b in emails(text)]
     if "ip" in kinds:
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        for m in _IP.finditer(text):
+            fits = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+            (out if fits else failed).append((m.start(), m.end(), "ip" if fits else "weak_ip"))
     if "card" in kinds:
         for m in _CARD.finditer(text):
             d = digits(m[0])
             if 14 <= len(d) <= 19:
-                (out if luhn(d) else failed).append((m.start(), m.end(), "card"))
+                fits = luhn(d)
+                (out if fits else failed).append((m.start(), m.end(), "card" if fits else "weak_card"))
     if "phone" in kinds:
         out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(digits(m[0])) <= 15]
     return out, failed
 
 
-def votes(kind: str, span: str, near: str) -> list[int]:
-    """Of the labelers, in order: 1 for, 0 against, -1 silent."""
-    d = digits(span)
-    if kind == "weak_card":
-        regex, gazetteer = int(len(d) in (15, 16)), (1 if d[:1] in "3456" else 0)
-    elif kind == "weak_id":
-        regex, gazetteer = int(d[:3] not in ("000", "666") and d[:1] != "9" and d[3:5] != "00"), -1
-    elif kind == "weak_phone":
-        regex, gazetteer = int(len(d) in (10, 11)), (0 if d[:3] in ("000", "123") else -1)
+def votes(kind: str, span: str, near: str, beside: str) -> list[int]:
+    """Of the labelers, in order: 1 for, 0 against, -1 silent. ``beside`` is the character on either side."""
+    of, d = family(kind), digits(span)
+    form, checksum, gazetteer = int(bool(FORM[of].fullmatch(span))), -1, -1
+    if of == "card":
+        checksum, gazetteer = int(luhn(d)), int(bool(ISSUER.match(d)))
+    elif of == "ip":
+        parts = [p.lstrip("0") or "0" for p in span.split(".")]
+        checksum = int(all(len(p) <= 3 and int(p) <= 255 for p in parts))
+        gazetteer = 0 if parts[0] in ("0", "255") or len(set(parts)) == 1 else 1
+    elif of == "phone":
+        checksum = int(len(set(d)) > 2 and len(d) >= 10)
+        gazetteer = int(d.startswith(COUNTRY)) if span[0] == "+" else 0 if d[:3] in ("000", "123") else -1
+    elif of == "id":
+        checksum = int(len(set(d)) > 2)
+    elif of == "email":
+        gazetteer = int(re.split(r"[.)\] ]", span)[-1].lower() in TLDS)
     else:
-        name = span.split()[1:]
-        regex, gazetteer = int(len(name) == 2), (1 if name and name[0].lower() in GIVEN else -1)
-    return [regex, gazetteer, 1 if CONTEXT[kind].search(near) else -1, 0 if AGAINST.search(near) else -1]
+        gazetteer = 1 if any(w.lower() in GIVEN for w in span.split()[1:]) else -1
+    embedded = 0 if any(c.isalnum() or c in "_=/#@" for c in beside) else 1
+    return [form, checksum, gazetteer, 1 if FOR[of].search(near) else -1, 0 if AGAINST.search(near) else -1, embedded]
 
 
 def features(kind: str, span: str, near: str) -> list[int]:
-    d = digits(span)
-    return [int(bool(d) and len(set(d)) >= 5), int("-" in span), int(" " in span), int("(" in span), int(len(d) >= 14), int(bool(CONTEXT[kind].search(near))), int(bool(AGAINST.search(near))), int(span[:1].isupper())]
-
-
-def candidates(text: str, base: list[tuple[int, int, str]], failed: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, pattern) of spans that overlap no base span; the pattern is votes and features."""
+    of, d = family(kind), digits(span)
+    sound = luhn(d) if of == "card" else FORM[of].fullmatch(span)
+    return [int(bool(d) and len(set(d)) >= 5), int("-" in span), int(" " in span), int("(" in span), int(bool(sound)), int(bool(FOR[of].search(near))), int(bool(AGAINST.search(near))), int(kind in BASE)]
+
+
+def candidates(text: str, base: list[Span], failed: list[Span], extra: bool = True) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, pattern) of the base spans and of further spans that overlap none of them; the pattern is
+    votes and features."""
+    more = [*failed, *((m.start(), m.end(), k) for k, p in CANDIDATES.items() for m in p.finditer(text))] if extra else failed
+    lo, hi = [], []  # of base spans, those that overlap as one
+    for a, b, _ in sorted(base):
+        if hi and a < hi[-1]:
+            hi[-1] = max(hi[-1], b)
+        else:
+            lo.append(a)
+            hi.append(b)
+    free = [x for x in more if bisect_right(hi, x[0]) == bisect_left(lo, x[1])]
     out = []
-    found = [("weak_card", a, b) for a, b, _ in failed] + [(k, m.start(), m.end()) for k, p in CANDIDATES.items() for m in p.finditer(text)]
-    taken = sorted((a, b) for a, b, _ in base)
-    for kind, a, b in sorted(found, key=lambda x: (x[1], ORDER[x[0]])):
-        if any(x < b and a < y for x, y in taken):
-            continue
-        near = text[max(0, a - 40) : a] + " " + text[b : b + 20]
-        v, f = votes(kind, text[a:b], near), features(kind, text[a:b], near)
+    for a, b, kind in sorted([*base, *free], key=lambda x: (x[0], ORDER[x[2]])):
+        near, beside = text[max(0, a - 40) : a] + " " + text[b : b + 20], text[max(0, a - 1) : a] + text[b : b + 1]
+        v, f = votes(kind, text[a:b], near, beside), features(kind, text[a:b], near)
         out.append((kind, a, b, "".join("xny"[i + 1] for i in v) + "".join(map(str, f))))
     return out
 
@@ -153,9 +199,9 @@ _FOUND = pa.schema(
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def find_in(text: str, kinds=BASE) -> tuple[list, list]:
+def find_in(text: str, kinds=(*BASE, "weak")) -> tuple[list, list]:
     base, failed = base_spans(text, kinds)
-    return base, candidates(text, base, failed)
+    return base, candidates(text, base, failed, "weak" in kinds)
 
 
 def find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +213,7 @@ def find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             any_hit = pc.or_(any_hit, hit[k])
         counts, sha, base_s, cand = {k: [0] * n for k in BASE}, [_EMPTY] * n, [""] * n, [[]] * n
         for r in pc.indices_nonzero(any_hit).to_pylist():
-            base, cands = find_in(text[r].as_py(), [k for k in BASE if hit[k][r].as_py()])
+            base, cands = find_in(text[r].as_py(), [k for k in GATES if hit[k][r].as_py()])
             for _, _, k in base:
                 counts[k][r] += 1
             base_s[r] = joined(base)
@@ -176,51 +222,62 @@ def find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_FOUND, doc_id=b.column(0), **{f"n_{k}": v for k, v in counts.items()}, base_sha256=sha, base=base_s, candidates=cand)
 
 
-def estimate(groups: list[tuple[str, str, int]], rounds: int = 50) -> dict[str, dict]:
-    """EM over (kind, pattern, count): for each kind the share of true spans and, per labeler, P(yes | true), P(yes | false).
+def posteriors(votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """EM over vote patterns (1, 0 or -1 a labeler) that occur n times each: P(true) of each pattern, the share of true
+    spans and, per labeler that speaks, P(yes | true) and P(yes | false).
 
-    Then a logistic classifier over the shape features, fitted to the posteriors. Counts and weights are all it sees.
+    Silence is an answer with a rate of its own in either class. It starts from the votes that differ from a labeler's
+    usual one, so that a labeler who always says the same says nothing; a prior of a few votes keeps its sense.
     """
+    said = np.stack([votes == 1, votes == 0, votes == -1]).astype(float)  # answer, pattern, labeler
+    sense = said[0] - said[1]
+    post = 1 / (1 + np.exp(-2 * (sense - n @ sense / n.sum()).sum(1)))
+    for _ in range(rounds):
+        w = np.stack([n * post, n * (1 - post)])
+        share = float(np.clip(w[0].sum() / n.sum(), 0.02, 0.98))
+        prior = np.array([[2, 0.5, 1], [0.75, 1.25, 1]])
+        rate = np.einsum("cp,apl->cal", w, said) + prior[:, :, None]
+        rate /= rate.sum(1, keepdims=True)
+        lt, lf = (np.einsum("apl,al->p", said, np.log(r)) for r in rate)
+        post = 1 / (1 + np.exp(np.clip(lf + np.log(1 - share) - lt - np.log(share), -50, 50)))
+    hit, alarm = rate[:, 0] / (rate[:, 0] + rate[:, 1])
+    return post, share, hit, alarm
+
+
+def estimate(groups: list[tuple[str, str, int]]) -> dict[str, dict]:
+    """Of (kind, pattern, count), for each family: the share of true spans, each labeler's rates by EM, and the weights of
+    a logistic classifier over the shape features, fitted to the posteriors. Counts and weights are all it sees."""
     out = {}
-    for kind in sorted({g[0] for g in groups}):
-        own = [(p, n) for k, p, n in groups if k == kind]
+    for of in sorted({family(g[0]) for g in groups}):
+        own = [(p, n) for k, p, n in groups if family(k) == of]
         n = np.array([c for _, c in own], float)
-        v = np.array([[{"x": -1, "n": 0, "y": 1}[ch] for ch in p[: len(LABELERS)]] for p, _ in own])
+        v = np.array([["xny".index(ch) - 1 for ch in p[: len(LABELERS)]] for p, _ in own])
         x = np.array([[int(ch) for ch in p[len(LABELERS) :]] + [1] for p, _ in own], float)
-        said, yes = v >= 0, v == 1
-        for_rate, against_rate, share = np.full(len(LABELERS), 0.8), np.full(len(LABELERS), 0.3), 0.5
-        post = np.full(len(own), 0.5)
-        for _ in range(rounds):
-            lt = np.log(share) + (said * np.where(yes, np.log(for_rate), np.log(1 - for_rate))).sum(1)
-            lf = np.log(1 - share) + (said * np.where(yes, np.log(against_rate), np.log(1 - against_rate))).sum(1)
-            post = 1 / (1 + np.exp(np.clip(lf - lt, -50, 50)))
-            w1, w0 = n * post, n * (1 - post)
-            share = float(np.clip(w1.sum() / n.sum(), 0.02, 0.98))
-            for_rate = (w1 @ (said & yes) + 4) / (w1 @ said + 5)  # a prior of five votes keeps a labeler's sense
-            against_rate = (w0 @ (said & yes) + 1.5) / (w0 @ said + 5)
+        post, share, hit, alarm = posteriors(v, n)
         weights = np.zeros(FEATURES + 1)
-        for _ in range(300):
+        for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             weights -= 0.5 * (x.T @ (n * (p - post)) / n.sum() + 1e-3 * weights)
-        out[kind] = {"share": share, "for": for_rate.tolist(), "against": against_rate.tolist(), "weights": weights.tolist()}
+        out[of] = {"share": share, "for": hit.tolist(), "against": alarm.tolist(), "weights": weights.tolist()}
     return out
 
 
 def accepts(model: dict[str, dict], kind: str, pattern: str) -> bool:
-    m = model.get(kind)
+    """Whether the classifier takes a candidate for personal data."""
+    m = model.get(family(kind))
     return bool(m) and float(np.dot(m["weights"], [*map(int, pattern[len(LABELERS) :]), 1])) > 0
 
 
 def detect(docs: DataFrame, name: str = "pii") -> DataFrame:
     """One row per document: counts, digest and spans. One pass over the texts; its findings are a written table.
 
-    The table of vote patterns that goes to the driver has at most 3**4 * 2**8 rows a kind, whatever the input.
+    The table of vote patterns that goes to the driver has at most 3**6 * 2**8 rows a kind, whatever the input.
     """
-    found = materialise(texts(docs).select("doc_id", "text").mapInArrow(find_batches, FOUND), name)
+    found = materialise(docs.select("doc_id", "text").mapInArrow(find_batches, FOUND), name)
     grouped = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
     groups = sorted((r[0], r[1], r[2]) for r in grouped.collect())
     model = estimate(groups)
-    good = [f"{k}|{p}" for k, p, _ in groups if accepts(model, k, p)]  # bounded as the groups are
+    good = [f"{k}|{p}" for k, p, _ in groups if k in EXTRA and accepts(model, k, p)]  # bounded as the groups are
     kept = F.filter("candidates", lambda c: F.concat_ws("|", c["kind"], c["pattern"]).isin(good)) if good else F.filter("candidates", lambda c: F.lit(False))
     more = F.transform(kept, lambda c: F.struct(c["start"].alias("a"), F.concat_ws(":", c["kind"], c["start"].cast("string"), c["stop"].cast("string")).alias("s")))
     mine = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), s.alias("s")))
@@ -243,7 +300,7 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and n_chars made to fit. The model is fitted on a first pass
     over all documents; a second pass finds the spans again and replaces them, so no join moves the texts."""
-    grouped = texts(docs).select("doc_id", "text").mapInArrow(find_batches, FOUND).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
+    grouped = docs.select("doc_id", "text").mapInArrow(find_batches, FOUND).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").count()
     model = estimate(sorted((r[0], r[1], r[2]) for r in grouped.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +316,14 @@ def redact(docs: DataFrame) -> DataFrame:
                 values = text.to_pylist()
                 for r in rows:
                     base, cands = find_in(values[r])
-                    values[r] = redact_text(values[r], base + [(s, e, k) for k, s, e, p in cands if accepts(model, k, p)])
+                    spans = base + [(s, e, k) for k, s, e, p in cands if k in EXTRA and accepts(model, k, p)]
+                    while spans:  # what is left may hold a span that one beside it had hidden
+                        values[r] = redact_text(values[r], spans)
+                        spans = base_spans(values[r])[0]
                 b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
             yield b
 
-    out = texts(docs).mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))) if "n_chars" in out.columns else out
 
 
