@@ -137,11 +137,12 @@ def scan(query: np.ndarray, turned: np.ndarray, blocks: list[np.ndarray], ids: n
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, a, b) of the rows that take part; (a, b) is the same for equal vectors only."""
     e = F.col("embedding")
-    whole = vectors.select("vec_id", e.cast("array<float>").alias("embedding")).where(
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # as exact as they come
+    whole = vectors.select("vec_id", e.cast(f"array<{kind}>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
     )
     top = whole.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    same = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))  # -0.0
+    same = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))  # -0.0
     return whole.where(F.size("embedding") == (top[0]["d"] if top else 0)).select("vec_id", same.alias("embedding")).select("vec_id", "embedding", F.xxhash64("embedding").alias("a"), F.hash("embedding").alias("b"))
 
 
@@ -179,14 +180,14 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
     index = fit(rows)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = spark.sparkContext.broadcast(index)
+    sent, kind = spark.sparkContext.broadcast(index), dict(rows.dtypes)["embedding"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = sent.value.near(sent.value.rows(_matrix(b.column(1))), 1)[:, 0] if b.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *b.columns], names=["list", *b.schema.names])
 
-    placed = materialise(few_copies(rows).select("vec_id", "embedding").mapInArrow(place, "list int, vec_id long, embedding array<float>"), "lists")
+    placed = materialise(few_copies(rows).select("vec_id", "embedding").mapInArrow(place, f"list int, vec_id long, embedding {kind}"), "lists")
     length = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS
     parts, first, held, bins = np.ones(len(index.centroids), int), np.zeros(len(index.centroids), int), 0, 0
     for k in range(len(parts)):  # lists share a bin until it is full; a longer one has bins of its own
@@ -214,8 +215,11 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *(c.take(pa.array(at)) for c in b.columns)], names=["bin", "lists", "a", "b", "embedding"])
 
     units = materialise(rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("a", "b").agg(F.first("embedding").alias("embedding")), "queries")
-    probes = materialise(units.mapInArrow(probe, "bin int, lists array<int>, a long, b int, embedding array<float>"), "probes")
-    asked = {r["bin"]: -(-r["count"] // QUERIES) for r in probes.groupBy("bin").count().collect()}  # a row a bin
+    probes = materialise(units.mapInArrow(probe, f"bin int, lists array<int>, a long, b int, embedding {kind}"), "probes")
+    many = materialise(probes.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "asked")
+    asked = np.zeros(bins + 1 + int(parts.max()), np.int64)  # a number a bin, of BIN rows
+    for r in many.collect():
+        asked[r["bin"]] = r["parts"]
 
     def into_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row in its bin, once for every group of queries that meet there."""
@@ -223,14 +227,13 @@ def search(vectors: DataFrame, every: int = EVERY) -> DataFrame:
             k = b.column(0).to_numpy()
             ids = b.column(1).to_numpy()
             own = first[k] + (mix(ids.view(np.uint64)) % parts[k].astype(np.uint64)).astype(int)
-            times = np.array([asked.get(j, 0) for j in own.tolist()], int)
+            times = asked[own]
             at = np.repeat(np.arange(len(k)), times)
             group = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
             yield pa.RecordBatch.from_arrays([pa.array(own[at], pa.int32()), pa.array(group, pa.int32()), *(c.take(pa.array(at)) for c in b.columns)], names=["bin", "part", "list", "vec_id", "embedding"])
 
-    binned = placed.mapInArrow(into_bins, "bin int, part int, list int, vec_id long, embedding array<float>")
-    groups = F.create_map(*[F.lit(x) for kv in asked.items() for x in kv]) if asked else F.create_map(F.lit(0), F.lit(1))
-    sorted_probes = probes.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.element_at(groups, F.col("bin")).cast("long")).cast("int"))
+    binned = placed.mapInArrow(into_bins, f"bin int, part int, list int, vec_id long, embedding {kind}")
+    sorted_probes = probes.join(many, "bin").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts").cast("long")).cast("int")).drop("parts")
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"a": [], "b": [], "vec_id": [], "score": []}
