@@ -58,7 +58,8 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
 
 
 def category(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(1 << BITS))
+    """A place on the scale for each value; null is one of its own."""
+    return F.pmod(F.xxhash64(F.col(column).isNull(), F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(1 << BITS))
 
 
 def magnitude(value: Column) -> Column:
@@ -66,11 +67,12 @@ def magnitude(value: Column) -> Column:
     return F.least(F.floor(F.log2(F.greatest(value, F.lit(1)).cast("double")) * 8), F.lit((1 << BITS) - 1)).cast("long")
 
 
-def order_on_curve(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, cell, rank, n) of all documents, ranked from 0 along the curve."""
+def order_on_curve(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, cell, rank, n) of all documents, ranked from 0 along the curve; with ``whole`` the row
+    itself too, as ``doc``."""
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     size = F.octet_length(text).cast("long") + 1
-    keyed = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.pandas_udf(_curve, "long")(category("lang"), category("source"), magnitude(size)).alias("cell"))
+    keyed = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.pandas_udf(_curve, "long")(category("lang"), category("source"), magnitude(size)).alias("cell"), *([F.struct("*").alias("doc")] if whole else []))
     keys = ["cell", "text_crc32", "doc_id"]
     spark = docs.sparkSession
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -78,10 +80,10 @@ def order_on_curve(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ordered.groupBy(part.alias("part")).count()  # a row per partition
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    return ordered.withColumn("part", part).join(before, "part").select("doc_id", "size", "text_crc32", "cell", (F.col("before") + within).alias("rank"), "n")
+    return ordered.withColumn("part", part).join(before, "part").select("doc_id", "size", "text_crc32", "cell", (F.col("before") + within).alias("rank"), "n", *(["doc"] if whole else []))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, whole: bool = False) -> DataFrame:
     """Each document's shard and gapless slot: counts of shards are at most one apart."""
     n = F.col("n")
     extra = F.pmod(n, F.lit(shards))
@@ -90,15 +92,17 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rank = F.col("rank")
     shard = F.when(rank < wide, F.floor(rank / (low + 1))).otherwise(extra + F.floor((rank - wide) / F.greatest(low, F.lit(1)))).cast("int")
     first = F.when(F.col("shard") <= extra, F.col("shard") * (low + 1)).otherwise(wide + (F.col("shard") - extra) * low)
-    return order_on_curve(docs, shards).withColumn("shard", shard).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (rank - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve_cell")
+    return order_on_curve(docs, shards, whole).withColumn("shard", shard).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (rank - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve_cell"), *(["doc"] if whole else [])
     )
 
 
 def write(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Documents as Parquet along the curve, a folder per shard: files then cover small boxes of every dimension."""
-    placed = docs.join(assign(docs, shards).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"]), "doc_id")
-    placed.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Documents as Parquet along the curve, a folder per shard: files then cover small boxes of every dimension. Every row
+    is written once, in its own slot, whatever its id; a column of its own named ``shard`` leaves that name to ``_shard``."""
+    name = "_shard" if "shard" in docs.columns else "shard"
+    placed = assign(docs, shards, whole=True).repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot")
+    placed.select("doc.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
