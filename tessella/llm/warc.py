@@ -109,6 +109,8 @@ def inflate(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
                 break
             yield machine.decompress(rest, step)
     yield machine.flush()
+    if content and not machine.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
