@@ -21,9 +21,20 @@ def bspline(order: int, x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=64)
 def _inverse(order: int, n: int) -> np.ndarray:
-    """Of the banded matrix of basis values at integers: samples to coefficients, with nothing outside."""
+    """Of the banded matrix of basis values at integers: samples to coefficients, with nothing outside. The matrix is
+    diagonally dominant enough to be eliminated within its band, without pivots."""
     d = np.arange(n)
-    return np.linalg.inv(bspline(order, (d[:, None] - d[None, :]).astype(float)))
+    a, out, band = bspline(order, (d[:, None] - d[None, :]).astype(float)), np.eye(n), order // 2
+    for i in range(n):  # to an upper triangle
+        for j in range(i + 1, min(n, i + band + 1)):
+            f = a[j, i] / a[i, i]
+            a[j, i : i + band + 1] -= f * a[i, i : i + band + 1]
+            out[j] -= f * out[i]
+    for i in range(n - 1, -1, -1):
+        out[i] /= a[i, i]
+        for j in range(max(0, i - band), i):
+            out[j] -= a[j, i] * out[i]
+    return out
 
 
 def prefilter(image: np.ndarray, order: int, pad: int = 12) -> np.ndarray:

@@ -46,6 +46,14 @@ def plane_bands(images: DataFrame, planes: DataFrame | None, optics: Optics, box
     return out.select("image_id", F.explode("parts").alias("x")).select("image_id", "x.*")
 
 
+def check_complete(bands: DataFrame, images: DataFrame, n_planes: int, out_h: int, rows: int) -> None:
+    """Refuse a table that lacks a band of some image and plane, or holds one twice."""
+    want = images.count() * n_planes * -(-out_h // rows)
+    got = bands.agg(F.count("*").alias("n"), F.count_distinct("image_id", "plane", "band").alias("d")).first()
+    if got["n"] != want or got["d"] != want:
+        raise ValueError(f"the bands of the images are {got['n']} rows, {got['d']} of them distinct, instead of {want}")
+
+
 def fast_length(n: int) -> int:
     """The smallest product of 2, 3 and 5 that is n or more."""
     while True:

@@ -47,6 +47,11 @@ def k_runs(rects: Sequence[Sequence[int]]) -> list[tuple[int, int, list[Rect]]]:
     return [r for r in runs if r[2]]
 
 
+def covered_k(rects: Sequence[Sequence[int]]) -> list[int]:
+    """The angular frequencies that some rectangle holds."""
+    return [k for a, b, _ in k_runs(rects) for k in range(a, b)]
+
+
 def in_rectangles(rects: Sequence[Sequence[int]]) -> Column:
     """Whether a cell (k, m) lies in one of the rectangles; overlaps count once."""
     out = F.lit(False)

@@ -97,6 +97,20 @@ def profiles(rows: DataFrame, kernels: np.ndarray, cells: Sequence[tuple[int, in
     return rows.select("n", "data", "re", "im").mapInPandas(run, "n long, f int, freq double, " + ", ".join(f"{c} double" for c in PROFILES) + ", template double")
 
 
+def reconstruct_images(queries: DataFrame, weights: DataFrame, kernels: np.ndarray, cells: Sequence[tuple[int, int]], num_angle: int) -> DataFrame:
+    """(q, data array): queries (q, n, psi in radians) as images: the sum of each template's cells, turned in the plane by a
+    phase of k psi. Leaving cells out is the truncation to fewer components."""
+    k = np.array([c[0] for c in cells])
+    sent = queries.sparkSession.sparkContext.broadcast(kernels * doubled(cells, num_angle)[:, None, None])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            turned = [(np.asarray(re) + 1j * np.asarray(im)) * np.exp(1j * k * psi) for re, im, psi in zip(b["re"], b["im"], b["psi"], strict=True)]
+            yield pd.DataFrame({"q": b["q"], "data": [reconstruction(w, sent.value, num_angle).ravel() for w in turned]})
+
+    return queries.join(packed_weights(weights, cells), "n").select("q", "psi", "re", "im").mapInPandas(run, "q long, data array<double>")
+
+
 def exact_errors(table: DataFrame) -> DataFrame:
     """(n, f, error): relative errors of ``profiles`` by template row, by ring, and in total, from one pass."""
     from .errors import summaries

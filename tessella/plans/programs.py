@@ -104,6 +104,7 @@ def run_calibrate(spark: SparkSession, config: cfg.CalibrateConfig) -> dict[str,
     out: dict[str, DataFrame] = {}
     record = config.model_dump(mode="json") | {"tags": []}
     if config.rectangles:
+        tables.cells_of(config.rectangles, *(r + 1 for r in t["s"].agg(F.max("k"), F.max("m")).first()))
         out["errors"] = E.truncation_error(cells, t["blocks"], config.rectangles)
         out["summary"] = E.truncation_summary(out["errors"])
     for i, target in enumerate(config.suggest):
@@ -204,6 +205,7 @@ def run_search(spark: SparkSession, config: cfg.SearchConfig, cut=None) -> DataF
     n_filters = (t["u"].agg(F.max("n")).first()[0] + 1) // n_orientations
     rows = planning.plan_bands((out_h, out_w), max(s.num_features for s in stages), execution)
     bands = cut(B.plane_bands(ready, plane_table(images, config), optics_of(config), box, rows), "bands")
+    B.check_complete(bands, ready, len(config.defocus), out_h, rows)
     weights = C.weights_of(t["u"].select("n", "k", "m", "re", "im"), t["s"])
     work = engine.Engine(bands, rows, (h, w), (out_h, out_w), grid, t["vh"], weights, t["orientations"], meta["nside"], len(config.defocus), n_filters, n_orientations, stored, cut, execution)
     searcher = S.Searcher(weights, stages, len(config.defocus), work.n_templates, None, cut, box=box, engine=work)

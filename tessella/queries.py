@@ -392,6 +392,13 @@ def label_counts(spark, sf):
     return tidy(L.label_counts(L.absorb_near_accepted(_labelled(spark, sf), 2)).drop("name"))
 
 
+@register("run_summary", sql(ABSORBED, "SELECT image_id, " + ", ".join(f"count(*) FILTER (label = {v}) AS {k.lower()}" for k, v in L.LABELS.items()) + " FROM absorbed GROUP BY image_id", "image_id:s " + " ".join(f"{k.lower()}:l" for k in L.LABELS)))
+def run_summary(spark, sf):
+    """What a run reports: pixels of each image by label."""
+    out = S.summary(L.absorb_near_accepted(_labelled(spark, sf), 2))
+    return tidy(out.select("image_id", *(c(k).alias(k.lower()) for k in L.LABELS)))
+
+
 @register("ledger_upsert", sql(LABELLED, "SELECT image_id, pixel_id, CASE WHEN pixel_id % 3 = 0 THEN 1 ELSE label END AS label, CASE WHEN pixel_id % 3 = 0 THEN mip * 2 ELSE mip END AS mip, CASE WHEN pixel_id % 3 = 0 THEN 1 ELSE 0 END AS last_stage, CASE WHEN pixel_id % 3 = 0 THEN NULL WHEN pixel_id % 2 = 0 THEN value END AS score FROM labelled", "image_id:s pixel_id:l label:l mip:d last_stage:l score:d", 5))
 def ledger_upsert(spark, sf):
     px = A.pixels(spark, sf)

@@ -209,6 +209,44 @@ def test_noise_tables_split_each_template(spark, tmp_path):
             T.check_table(meta, other, n, 3)
 
 
+def test_templates_are_reconstructed_as_images(spark, tmp_path):
+    """All cells give the projection back, few of them less of it; a turn in the plane is a turn of the image."""
+    _, vol = scene(tmp_path)
+    out = str(tmp_path / "dec")
+    programs.run_decompose(spark, cfg.DecomposeConfig(volume=str(tmp_path / "v.mrc"), output=out, polar=cfg.PolarGridConfig(num_radius=14, num_angle=40), eig_max=8, k_max=10))
+    t, meta = store.load_decomposition(spark, out), store.read_meta(spark, out)["config"]
+    grid = PolarGrid.from_dict(meta["grid"])
+    k_max, eig_max = (r + 1 for r in t["s"].agg(F.max("k"), F.max("m")).first())
+    w = C.weights_of(t["u"].select("n", "k", "m", "re", "im"), t["s"]).cache()
+    ori = t["orientations"].where("orientation = 4").first()
+    want = D.project(*D.volume_spectrum(vol), D.rotation_array(ori["phi_deg"], ori["theta_deg"], 0))
+    want = (want - want.mean()) / np.sqrt(want.var(ddof=1) + 1e-8)
+    mask = T.support(grid)
+    queries = spark.createDataFrame([(0, 4, 0.0), (1, 4, math.pi)], "q long, n long, psi double")
+
+    def images(rect):
+        cells = T.cells_of([rect], k_max, eig_max)
+        kern = engine.cell_kernels(engine.radial_vectors(t["vh"], grid, k_max, eig_max), grid, cells)
+        return {r["q"]: np.array(r["data"]).reshape(16, 16) for r in T.reconstruct_images(queries, w, kern, cells, grid.num_angle).collect()}
+
+    lost = lambda x: np.linalg.norm((x - want)[mask]) / np.linalg.norm(want[mask])
+    full, few = images((0, 0, k_max, eig_max)), images((0, 0, 4, 2))
+    assert lost(full[0]) < 0.3 < lost(few[0]) < 1
+    turned = np.roll(full[0][::-1, ::-1], (1, 1), (0, 1))  # half a turn about the center pixel
+    inner = np.hypot(*(np.indices((16, 16)) - 8)) <= 6
+    assert np.corrcoef(full[1][inner], turned[inner])[0, 1] > 0.98
+
+
+def test_incomplete_bands_are_refused(spark):
+    images = spark.createDataFrame([("a", 8, 8, [0.0] * 64)], "image_id string, h int, w int, data array<double>")
+    bands = B.plane_bands(images, None, P.Optics(), (3, 3), 4)
+    B.check_complete(bands, images, 1, 6, 4)
+    for bad in (bands.where("band = 0"), bands.union(bands)):
+        with pytest.raises(ValueError, match="instead of 2"):
+            B.check_complete(bad, images, 1, 6, 4)
+    assert C.covered_k([(0, 0, 2, 1), (4, 0, 1, 1)]) == [0, 1, 4]
+
+
 def test_support_covers_the_rings():
     g = PolarGrid.of_image("spiral", (20, 20), 14, 40)
     mask = T.support(g)
