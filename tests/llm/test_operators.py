@@ -224,6 +224,50 @@ def test_toxicity(spark, docs):
     assert toxicity.score(d, untrained).where("score <> 0").count() == 0
 
 
+def scored(model, texts):
+    raw, offsets = common.string_parts(pa.array(texts))
+    return np.concatenate([model.scores(common.Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], common.ALNUM, True)) for lo, hi in common.pieces(offsets, 400)])
+
+
+def test_scores_are_those_of_plain_loops():
+    """Embedding, filters, pooling and thresholds word by word."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(1)
+    model.trained, model.shift = True, rng.normal(size=len(toxicity.LANGUAGES))
+    texts = ["", "Dog", "the the of", "der und das Haus", "a b", " ".join(rng.choice(["alpha", "BETA", "gämma", "of", "x"], 60)), "1 2, 3"]
+    for text, got in zip(texts, scored(model, texts), strict=True):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+        one = [common.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), common.ALNUM, True) for w in words]
+        x = [sum(model.table[b] for b in toxicity.buckets(w)[0]) for w in one]
+        z = float(model.base)
+        for j, k in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                seen = [sum(float(x[a + i] @ model.filters[j][i * toxicity.DIMS : (i + 1) * toxicity.DIMS, f]) for i in range(k)) + float(model.bias[j][f]) for a in range(len(x) - k + 1)]
+                z += max([0.0, *seen]) * float(model.out[j * toxicity.FILTERS + f])
+        votes = [sum(w in v for w in words) for v in toxicity.FUNCTION_WORDS.values()]
+        lang = votes.index(max(votes)) if max(votes) else len(votes)
+        z = toxicity.SHARPNESS * (z - model.shift[lang]) + math.log(toxicity.CUT / (1 - toxicity.CUT))
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_the_filters_learn_what_single_words_do_not_tell():
+    """Both classes have the same words; only the order of two of them differs, of which the start knows nothing."""
+    rng = random.Random(4)
+    words = [f"w{i:03d}x" for i in range(200)]
+
+    def text(y):
+        w = [rng.choice(words) for _ in range(rng.randint(10, 40))]
+        for _ in range(3):
+            at = rng.randrange(len(w))
+            w[at:at] = ["zorg", "blat"] if y else ["blat", "zorg"]
+        return " ".join(w)
+
+    y = np.arange(900) % 2
+    texts, keep = [text(v) for v in y], np.arange(900) % 3 != 1
+    s = scored(toxicity.fit(texts, y, keep), texts)
+    assert ((s >= toxicity.CUT) == y)[~keep].mean() > 0.95
+
+
 def test_best_cut():
     assert toxicity.best_cut(np.array([3.0, 2.0, 0.0, -1.0]), np.array([1, 1, 0, 0])) == 1.0
 
@@ -726,6 +770,34 @@ def test_chains_of_near_copies(spark):
     assert Counter(tuple(r) for r in setjoin.group(df).collect()) == Counter(brute_components(rows))
 
 
+def test_a_large_group_of_near_copies(spark):
+    """2,000 copies of one text with up to six words changed: similarities lie on both sides of the law."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(2000):
+        w = base[:]
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(100)] = f"n{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[a : a + 4]) for a in range(97)} for w in (t.split() for t in texts)]
+    names = {x: j for j, x in enumerate(set().union(*sets))}
+    m = np.zeros((2000, len(names)), np.float32)
+    for r, x in enumerate(sets):
+        m[r, [names[g] for g in x]] = 1
+    both, size = m @ m.T, m.sum(1)
+    link = 100 * both >= 85 * (size[:, None] + size[None] - both)
+    least = np.arange(2000)
+    while True:
+        lower = np.array([least[row].min() for row in link])
+        if (lower == least).all():
+            break
+        least = lower
+    assert 1 < len(set(least.tolist())) < 2000 and 0.05 < link.mean() < 0.9
+    got = setjoin.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(least.tolist()))
+
+
 def test_bitmap_bounds_the_difference():
     rng = np.random.default_rng(0)
     for n, m in ((5, 9), (100, 160), (900, 300), (3000, 5000)):

@@ -101,3 +101,17 @@ def test_near_duplicates_share_five_words_and_four_fifths(spark):
     assert 1 in gone and 11 not in gone and len(gone) < 7
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in P.drop_near_duplicates(spark, docs, "").collect()} == set(sets) - gone
+
+
+def test_empty_tables_pass_all_stages(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = out
