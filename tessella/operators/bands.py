@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessella.functions.adjoint import AdjointBases
 
 from . import correlate as C
+from .imaging import merged
 from .prepared import Optics, ctf_planes, per_row
 
 BANDS = "plane int, band int, w int, data array<float>"
@@ -220,7 +221,7 @@ def stage_stats(bands: DataFrame, pixels: DataFrame, cells: Cells, block: Block,
                         [pa.array([image_id.as_py()] * n, image_id.type), pa.array([plane.as_py()] * n, pa.int32()), *(pa.array(got[f], arrow[t]) for f, t in fields)], names=["image_id", "plane", *(f for f, _ in fields)]
                     )
 
-    return rows.select("image_id", "plane", "band", "w", "data", "at").mapInArrow(run, f"image_id {kind}, plane int, {STATS}")
+    return rows.select("image_id", "plane", "band", "w", "data", "at").mapInArrow(lambda batches: merged(run(batches)), f"image_id {kind}, plane int, {STATS}")
 
 
 def merged_blocks(parts: DataFrame, n_evaluated: int) -> DataFrame:

@@ -94,6 +94,19 @@ def image_rows(pixels: DataFrame, h: int, w: int) -> DataFrame:
     return cells.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("data"))
 
 
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: small images give small ones."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def per_image(images: DataFrame, kernel, h: int, w: int, schema: str) -> DataFrame:
     """Rows that ``kernel(image_id, array)`` yields as tuples, for each image; an image at a time is in memory."""
 
@@ -109,7 +122,7 @@ def per_image(images: DataFrame, kernel, h: int, w: int, schema: str) -> DataFra
                 got = kernel(b.column(0)[i].as_py(), data)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in want], schema=want)
 
-    return images.select("image_id", "data").mapInArrow(run, schema)
+    return images.select("image_id", "data").mapInArrow(lambda batches: merged(run(batches)), schema)
 
 
 def fft_kernel(image_id, data: np.ndarray) -> dict:
@@ -159,24 +172,26 @@ def curve_to_grid(curve: DataFrame, h: int, w: int, bins: int, keys: tuple[str,
     one = curve.groupBy(*keys).agg(F.collect_list(F.struct(F.col("f").cast("int").alias("f"), F.col(column).cast("double").alias("v"))).alias("x"))  # a ring each
     cells = np.arange(h * (w // 2 + 1))
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = rings.radii(h, w).ravel() * (bins - 1) / CORNER
         lo = np.floor(np.round(at, 9)).astype(int)
         t = np.maximum(at - lo, 0.0)
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                points = np.full(max(bins, lo.max() + 1) + 1, np.nan)
-                for x in row[-1]:
-                    if 0 <= x["f"] < len(points):
-                        points[x["f"]] = x["v"]
+        size = max(bins, lo.max() + 1) + 1
+        ky, kx = pa.array(cells // (w // 2 + 1), pa.int32()), pa.array(cells % (w // 2 + 1), pa.int32())
+        for b in batches:
+            for i in range(b.num_rows):
+                x = b.column(b.num_columns - 1)[i].values
+                f, v = x.field("f").to_numpy(zero_copy_only=False), x.field("v").to_numpy(zero_copy_only=False)
+                points = np.full(size, np.nan)
+                ok = (f >= 0) & (f < size)
+                points[f[ok]] = v[ok]
                 high = np.where((t < 1e-9) & np.isnan(points[lo + 1]), points[lo], points[lo + 1])
                 value = points[lo] + t * (high - points[lo])
-                yield pd.DataFrame({**dict(zip(keys, row, strict=False)), "ky": (cells // (w // 2 + 1)).astype(np.int32), "kx": (cells % (w // 2 + 1)).astype(np.int32), "value": np.where(np.isnan(value), 1.0, value)})
+                own = [pa.repeat(b.column(j)[i], len(cells)) for j in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, ky, kx, pa.array(np.where(np.isnan(value), 1.0, value))], names=[*keys, "ky", "kx", "value"])
 
     kinds = dict(curve.dtypes)
-    return one.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ky int", "kx int", "value double"]))
+    return one.mapInArrow(lambda batches: merged(run(batches)), ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ky int", "kx int", "value double"]))
 
 
 def band(radius: Column, cutoff: float, falloff: float) -> Column:
@@ -215,17 +230,19 @@ def disk_mean(pixels: DataFrame, radius: int) -> DataFrame:
     """(image_id, row, col, value): the mean over the disk about each pixel, of what of it lies in the image. An image at a
     time, by running sums."""
     kind = dict(pixels.dtypes)["image_id"]
+    one = pixels.groupBy("image_id").agg(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))).alias("x"))
 
-    def kernel(pdf):
-        import pandas as pd
-
-        r, c = pdf["row"].to_numpy(int), pdf["col"].to_numpy(int)
-        values, there = np.zeros((r.max() + 1, c.max() + 1)), np.zeros((r.max() + 1, c.max() + 1))
-        values[r, c], there[r, c] = pdf["value"], 1.0
-        mean = rings.disk_mean(values, radius)[r, c] / rings.disk_mean(there, radius)[r, c]
-        return pd.DataFrame({"image_id": pdf["image_id"], "row": pdf["row"], "col": pdf["col"], "value": mean})
-
-    return pixels.select("image_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("double")).groupBy("image_id").applyInPandas(kernel, f"image_id {kind}, row int, col int, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = b.column(1)[i].values
+                r, c, v = (x.field(f).to_numpy(zero_copy_only=False) for f in ("row", "col", "value"))
+                values, there = np.zeros((r.max() + 1, c.max() + 1)), np.zeros((r.max() + 1, c.max() + 1))
+                values[r, c], there[r, c] = v, 1.0
+                mean = rings.disk_mean(values, radius)[r, c] / rings.disk_mean(there, radius)[r, c]
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(r)), pa.array(r), pa.array(c), pa.array(mean)], names=["image_id", "row", "col", "value"])
+
+    return one.mapInArrow(lambda batches: merged(run(batches)), f"image_id {kind}, row int, col int, value double")
 
 
 def featurize(pixels: DataFrame, kernels: DataFrame, box: tuple[int, int], out: tuple[int, int]) -> DataFrame:

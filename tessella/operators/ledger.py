@@ -177,7 +177,7 @@ def pick_particles(ledger: DataFrame, radius: float) -> DataFrame:
     pts = cand.select("image_id", "pixel_id", "row", "col", "zscore")
     stronger = (F.col("r_zscore") > F.col("zscore")) | ((F.col("r_zscore") == F.col("zscore")) & (F.col("r_pixel_id") < F.col("pixel_id")))
     covered = near(pts, pts, radius).where(stronger).select("image_id", "pixel_id").distinct()
-    peaks = cand.join(covered, ["image_id", "pixel_id"], "left_anti")
+    peaks = cand.join(covered, ["image_id", "pixel_id"], "left_anti").persist()  # few, and read by each step that follows
     accepted = pixels_with(ledger, "ACCEPTED").select("image_id", "pixel_id", "row", "col")
     owners = nearest(accepted, peaks.select("image_id", "pixel_id", "row", "col"), radius)
     return peaks.join(owners.select("image_id", F.col("r_pixel_id").alias("pixel_id")).distinct(), ["image_id", "pixel_id"], "left_semi")
@@ -190,14 +190,10 @@ def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     whose image has targets, so any distance is covered.
     """
     left = points.join(targets.select("image_id").distinct(), "image_id", "left_semi")
-    spread = targets.agg(F.max("row"), F.max("col")).union(points.agg(F.max("row"), F.max("col"))).collect()
-    most = 1 + 2 * max((v or 0 for r in spread for v in r), default=0)
-    found, reach = None, max(1.0, float(radius))
+    found, reach = None, max(1.0, 4.0 * radius)
     while True:
-        one = near(left, targets, reach).groupBy("image_id", "pixel_id").agg(F.min(F.struct("dist2", "r_pixel_id")).alias("x")).select("image_id", "pixel_id", "x.r_pixel_id")
+        one = near(left, targets, reach).groupBy("image_id", "pixel_id").agg(F.min(F.struct("dist2", "r_pixel_id")).alias("x")).select("image_id", "pixel_id", "x.r_pixel_id").persist()
         found = one if found is None else found.unionByName(one)
-        if reach >= most:
-            return found
         left = left.join(one, ["image_id", "pixel_id"], "left_anti")
         if left.isEmpty():
             return found
