@@ -8,7 +8,8 @@ packing           the texts' tokens in sequences of at most 1024
 
 All stages but the last return the columns of their input. A row is removed for its own id and text, so that rows that
 repeat an id with other texts, or have none, are documents each. Of rows that repeat an id and a text the one with the
-smallest other columns stays; texts without words repeat nothing where they have no id.
+smallest other columns stays; texts without words repeat nothing where they have no id. Stages that send texts to Python
+write their table themselves, in small batches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ NEAR = setjoin.Law(words=5, num=80, den=100)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return materialise(toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "toxicity")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -48,15 +49,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("lo is not null")
-    return with_key(docs).join(keys_of(found), KEY, "left_anti").select(*docs.columns)
+    return with_key(docs).join(materialise(keys_of(found), "contaminated"), KEY, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(docs)
+    return materialise(pii.redact(docs), "pii")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return materialise(packing.pack(docs), "packing")
 
 
 STAGES = [
@@ -73,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        docs = out if hasattr(out, "_written") else materialise(out, name)
     return docs

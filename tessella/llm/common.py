@@ -8,6 +8,7 @@ that, its number of words), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 import zlib
@@ -23,6 +24,15 @@ from pyspark.sql import functions as F
 # memory of a batch goes back to the system when the batch is done, not into a pool of the worker
 pa.set_memory_pool(pa.system_memory_pool())
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give the memory of a finished batch back to the system, where the C library can: workers outlive their tasks."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 PIECE = 1 << 18
 ROWS = 1000  # of texts in an Arrow batch
 MASK = (1 << 64) - 1
@@ -55,11 +65,10 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    Python workers get at most ROWS rows at a time, and the job's shuffle files go when it ends. Joins of shuffled sides
-    are not turned into broadcasts: executors would hold each of them until the driver happens to collect its garbage.
+    Python workers get at most ROWS rows at a time, and the job's shuffle files go when it ends.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS), spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
@@ -220,6 +229,7 @@ def words_of(column: pa.Array, table: np.ndarray, lower: bool = False) -> Iterat
     raw, offsets = string_parts(column)
     for lo, hi in pieces(offsets):
         yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table, lower)
+    trim()
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
