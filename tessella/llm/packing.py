@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch, pieces, span_hash, string_parts
+from .common import batch, pieces, span_hash, string_parts, trim
 
 WINDOW, CUT, BATCH, END = 1024, 256, 48, 0
-CACHE, STORE = 21, 1 << 22  # bits of a pre-token's slot in the cache; ids kept
+CACHE, STORE, AT_ONCE, PIECE = 19, 1 << 20, 1 << 15, 1 << 16  # bits of a pre-token's slot in the cache; ids kept; characters that are encoded at once; bytes of a piece
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = range(5)
 #: White_Space, a fixed value
@@ -118,9 +118,9 @@ class Encoder:
         """
         size = np.zeros(len(start), np.int64)
         blank = cls[end - 1] == _SPACE
-        j = np.flatnonzero(~blank)
-        parts: list[np.ndarray] = []
-        if len(j):
+        order, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        words = np.flatnonzero(~blank)
+        for j in np.array_split(words, -(-int((end[words] - start[words]).sum()) // AT_ONCE)) if len(words) else ():
             bare = code[start[j]] != 32
             n = end[j] - start[j] + bare
             one = taken(code, start[j] - bare, n)
@@ -131,15 +131,16 @@ class Encoder:
             size[j] = np.diff(stop, prepend=0) - bare
             keep = np.ones(len(ids), bool)
             keep[np.append(0, stop[:-1])[bare]] = False
+            order.append(j)
             parts.append(ids[keep])
         j = np.flatnonzero(blank)
         if len(j):
             got = self.plain([code[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[j], end[j], strict=True)])
             size[j] = list(map(len, got))
+            order.append(j)
             parts.append(np.array([i for g in got for i in g], np.uint32))
-        first = np.empty(len(start), np.int64)
-        order = np.concatenate([np.flatnonzero(~blank), j])
-        first[order] = np.cumsum(size[order]) - size[order]
+        first, at = np.empty(len(start), np.int64), np.concatenate(order)
+        first[at] = np.cumsum(size[at]) - size[at]
         return taken(np.concatenate(parts), first, size), size
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -198,6 +199,7 @@ def encoder_at(path: str) -> Encoder:
     """The encoder of a vocabulary file; a worker makes it once."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        trim()  # what parsing the file has left
     return _ENCODERS[path]
 
 
@@ -277,7 +279,7 @@ def _pack(vocabulary: str | None, window: int, cut: int, group: int):
         for b in batches:
             ids = b.column(0).to_pylist()
             raw, offsets = string_parts(b.column(1))
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, PIECE):
                 for r, tokens in enumerate(encoder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), lo):
                     tokens = np.append(tokens, np.uint32(END)).astype("<u4")
                     n, at = len(tokens), 0
@@ -295,6 +297,7 @@ def _pack(vocabulary: str | None, window: int, cut: int, group: int):
                         close()
                 if len(done) >= 20_000:
                     yield flush()
+            trim()
         close()
         yield flush()
 
