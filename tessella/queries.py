@@ -94,13 +94,12 @@ def _packed_search(spark, sf, n_psi):
     block = C.weight_block(w, A.K, A.M)
     if block is None:  # too large for every task: the relational form
         return C.search(feats.drop("label"), w, n_psi, 10, digits=6)
-    return C.search_packed(C.pack(feats, A.K, A.M), block, n_psi)
+    return C.search_packed(C.pack(feats, A.K, A.M), block, n_psi, digits=6)
 
 
 @register("correlate_arrow", sql(WEIGHTS + ", " + search_sql(16), SEARCHED, MAP_COLUMNS))
 def correlate_arrow(spark, sf):
-    out = _packed_search(spark, sf, 16).withColumn("mip", F.round("mip", 6))
-    return tidy(out.withColumn("zscore", (c("mip") - c("mean")) / F.greatest(F.sqrt("variance"), F.lit(1e-12))))
+    return tidy(_packed_search(spark, sf, 16))
 
 
 @register("contract", sql(WEIGHTS + ", " + spectrum_sql(16), "SELECT p, n, k, cr, ci FROM spec0", "p:l n:l k:l cr:d ci:d"))
