@@ -162,8 +162,9 @@ class Block:
 STATS = "pixel_id long, mip double, best_virtual long, best_psi int, s1 double, s2 double"
 
 
-def reduce_band(y: np.ndarray, group: np.ndarray | None, block: Block, n_psi: int, pixels: int, templates: int) -> dict[str, np.ndarray]:
-    """Maximum, its template row and angle, and the sums of all correlations and their squares, of (P, K, M) features."""
+def reduce_band(y: np.ndarray, group: np.ndarray | None, block: Block, n_psi: int, pixels: int, templates: int, digits: int | None = None) -> dict[str, np.ndarray]:
+    """Maximum, its template row and angle, and the sums of all correlations and their squares, of (P, K, M) features. With
+    ``digits`` the maximum is that of rounded correlations."""
     out = {"mip": np.full(len(y), -np.inf), "best_virtual": np.zeros(len(y), np.int64), "best_psi": np.zeros(len(y), np.int32), "s1": np.zeros(len(y)), "s2": np.zeros(len(y))}
     if group is None:
         parts = [(slice(lo, lo + pixels), slice(None)) for lo in range(0, len(y), pixels)]
@@ -176,7 +177,7 @@ def reduce_band(y: np.ndarray, group: np.ndarray | None, block: Block, n_psi: in
     for at, members in parts:
         rows = block.rows[members]
         if len(rows):
-            got = C.reduce_block(y[at], block.weights[members], n_psi, templates, sums=True)
+            got = C.reduce_block(y[at], block.weights[members], n_psi, templates, sums=True, digits=digits)
             out["mip"][at], out["best_virtual"][at], out["best_psi"][at] = got["mip"], rows[got["best_virtual"]], got["best_psi"]
             out["s1"][at], out["s2"][at] = got["s1"], got["s2"]
         if group is not None:
@@ -191,7 +192,7 @@ def gathered(pixels: DataFrame, rows: int) -> DataFrame:
     return px.groupBy("image_id", "band").agg(F.array_sort(F.collect_list("x")).alias("at"))
 
 
-def stage_stats(bands: DataFrame, pixels: DataFrame, cells: Cells, block: Block, n_psi: int, band_rows: int, positions: int, memory_pixels: int, templates: int, mode: str | None, out: tuple[int, int], image: tuple[int, int]) -> DataFrame:
+def stage_stats(bands: DataFrame, pixels: DataFrame, cells: Cells, block: Block, n_psi: int, band_rows: int, positions: int, memory_pixels: int, templates: int, mode: str | None, out: tuple[int, int], image: tuple[int, int], digits: int | None = None) -> DataFrame:
     """(image_id, plane, STATS) of a stage's ``pixels`` (image_id, pixel_id, row, col and, for a local stage, cell)."""
     from tessella.plans.planning import choose_mode
 
@@ -215,7 +216,7 @@ def stage_stats(bands: DataFrame, pixels: DataFrame, cells: Cells, block: Block,
                 for lo in range(0, len(row), positions):
                     part = slice(lo, lo + positions)
                     y = spread(features(data, row[part], col[part], cells, how), cells)
-                    got = reduce_band(y, None if block.near is None else cell[part], block, n_psi, memory_pixels, templates) | {"pixel_id": pixel[part]}
+                    got = reduce_band(y, None if block.near is None else cell[part], block, n_psi, memory_pixels, templates, digits) | {"pixel_id": pixel[part]}
                     n = len(y)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([image_id.as_py()] * n, image_id.type), pa.array([plane.as_py()] * n, pa.int32()), *(pa.array(got[f], arrow[t]) for f, t in fields)], names=["image_id", "plane", *(f for f, _ in fields)]

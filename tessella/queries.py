@@ -769,19 +769,19 @@ def _cells(rects):
 class _TinyEngine:
     """The stage work on embeddings as 8 x 8 images under 3 x 3 kernels; templates are the labels' means."""
 
-    def __init__(self, spark, sf):
+    def __init__(self, spark, sf, digits=None):
         from tessella.operators import bands as B
         from tessella.operators.prepared import Optics
 
         rows = I.image_rows(A.tiny_images(spark, sf), 8, 8).select("image_id", F.lit(8).alias("h"), F.lit(8).alias("w"), "data")
-        self.bands, self.weights, self.B = B.plane_bands(rows, None, Optics(), (3, 3), 4), A.weights(spark, sf), B
+        self.bands, self.weights, self.B, self.digits = B.plane_bands(rows, None, Optics(), (3, 3), 4), A.weights(spark, sf), B, digits
 
     def maps(self, pixels, stage):
         import numpy as np
 
         cells = _cells(stage.rectangles)
         block = C.weight_block(self.weights.where(C.in_rectangles(stage.rectangles)), *cells.extent)
-        stats = self.B.stage_stats(self.bands, pixels, cells, self.B.Block(np.arange(len(block)), block), stage.n_psi, 4, 16, 8, 4, None, (6, 6), (8, 8))
+        stats = self.B.stage_stats(self.bands, pixels, cells, self.B.Block(np.arange(len(block)), block), stage.n_psi, 4, 16, 8, 4, None, (6, 6), (8, 8), self.digits)
         return self.B.merged_blocks(stats, len(block) * stage.n_psi).withColumn("best_index", c("best_virtual").cast("long"))
 
 
@@ -793,8 +793,7 @@ def _tiny_positions(spark, sf):
 @register("search_bands", sql(BANDED + ", " + search_sql(8), f"SELECT p // 36 AS image_id, p % 36 AS pixel_id, mip, best_virtual, best_psi, mean, variance, zscore FROM ({SEARCHED})", "image_id:l pixel_id:l mip:d best_virtual:l best_psi:l mean:d variance:d zscore:d"))
 def search_bands(spark, sf):
     """One stage over all positions of all images, as the search program does it."""
-    out = _TinyEngine(spark, sf).maps(_tiny_positions(spark, sf), S.Stage(((0, 0, 2, 2),), 8)).withColumn("mip", F.round("mip", 6))
-    out = out.withColumn("zscore", (c("mip") - c("mean")) / F.greatest(F.sqrt("variance"), F.lit(1e-12)))
+    out = _TinyEngine(spark, sf, digits=6).maps(_tiny_positions(spark, sf), S.Stage(((0, 0, 2, 2),), 8))
     return tidy(out.select("image_id", "pixel_id", "mip", "best_virtual", "best_psi", "mean", "variance", "zscore"))
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessella.operators import bands as B
 from tessella.operators import correlate as C
 
 
@@ -53,3 +54,24 @@ def same_as_sql(spark, folder, name):
 
 def test_arrow_form_against_sql(spark, near_ties):
     same_as_sql(spark, near_ties, "correlate_arrow")
+
+
+def test_bands_give_rounded_maxima_to_the_first_template():
+    rng = np.random.default_rng(4)
+    w = np.repeat(rng.normal(size=(1, 3, 2)) + 1j * rng.normal(size=(1, 3, 2)), 4, 0) * (1 + 1e-9 * np.arange(4))[:, None, None]
+    y = rng.normal(size=(7, 3, 2)) + 1j * rng.normal(size=(7, 3, 2))
+    near = {0: np.array([1, 2]), 1: np.array([2, 3])}
+    block = B.Block(np.array([5, 6, 8, 9]), w, near, B.Forms(w, 12))
+    group = np.arange(7) % 2
+    plain, local = (B.reduce_band(y, g, b, 12, 2, 3, digits=6) for g, b in ((None, B.Block(block.rows, w)), (group, block)))
+    assert plain["best_virtual"].tolist() == [5] * 7 and local["best_virtual"].tolist() == np.array([6, 8])[group].tolist()
+    exact = B.reduce_band(y, None, B.Block(block.rows, w), 12, 2, 3)
+    assert exact["best_virtual"].tolist() == [9] * 7
+    np.testing.assert_array_equal(plain["mip"], C.rounded(exact["mip"], 6))
+    for s in ("s1", "s2"):
+        np.testing.assert_array_equal(plain[s], exact[s])
+        np.testing.assert_allclose(local[s], exact[s])
+
+
+def test_bands_against_sql(spark, near_ties):
+    same_as_sql(spark, near_ties, "search_bands")
