@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, packing, pii, setjoin, toxicity
-from tessella.llm.common import key_columns, materialise
+from tessella.llm.common import free, key_columns, materialise
 
 KEY = ["_k1", "_k2"]
 NEAR = setjoin.Law(words=5, num=80, den=100)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return materialise(toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "toxicity")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    free(spark)  # the rows that it learnt from
+    return materialise(toxicity.keep_clean(docs, model), "toxicity")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -38,6 +40,7 @@ def keys_of(found: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = materialise(setjoin.members(docs, NEAR), "groups")
+    free(spark)
     kept = with_key(docs).join(keys_of(grouped.where("not stays")), KEY, "left_anti")
     again = keys_of(grouped.where("stays and (n_shingles > 0 or doc_id is not null)").groupBy("k1", "k2").count().where("count > 1"))
     if again.isEmpty():

@@ -18,6 +18,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,10 +80,29 @@ def free(spark: SparkSession) -> None:
     """Let Spark drop the broadcasts of finished steps, each stage's code among them, from the executors' memory.
 
     It does so when the driver has collected what named them, which a driver with room to spare may not do for hours.
-    Called once a round of an operator that runs many jobs, not for each of them.
+    Called once a round of an operator that runs many jobs, not for each of them. The driver's own memory follows: what its
+    threads and compilers have freed stays in pools of the C library otherwise, which grow with the number of jobs.
     """
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str | None:
+    """``trim`` for the driver's JVM, by its diagnostic command; its answer, or None where it has no such command."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    types, values = gateway.new_array(jvm.java.lang.Class, len(kinds)), gateway.new_array(jvm.java.lang.Object, len(kinds))
+    try:
+        for i, kind in enumerate(kinds):
+            types[i] = jvm.java.lang.Class.forName(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface: the server's own class is hidden in its module
+        command = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+        return command.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return None
 
 
 def discard(*tables: DataFrame) -> None:

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,25 @@ def digest(spans):
 # kernels
 
 
+def test_free_gives_back_what_the_drivers_jvm_has_freed(spark):
+    jvm = spark.sparkContext._jvm
+    memory, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Anonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    common.free(spark)
+    before = held()
+    blocks = [memory.allocateMemory(100_000) for _ in range(1000)]
+    for at in blocks:
+        memory.setMemory(at, 1, 100_000)
+    for i, at in enumerate(blocks):
+        if i % 20:  # those that stay keep the allocator from shrinking by itself
+            memory.freeMemory(at)
+    common.free(spark)
+    after = held()
+    for at in blocks[::20]:
+        memory.freeMemory(at)
+    assert after - before < 50
+
+
 def test_words_of_rows_and_their_hashes():
     texts = ["", "a", " b  a ", "é ñ　x", "a b c a b c", "x" * 50 + " y"]
     for _, _, w in common.words_of(pa.array([None, *texts]), common.SPACED):
